@@ -37,7 +37,7 @@ def homogeneous(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 def plateau(points: DataFrame, key: str, size: str, median: str, cv: str, last: int = 3, limit: float = 0.05) -> DataFrame:
     """The value at the largest size if the last three medians and their spreads are within limit, else a reason."""
-    tail = points.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(size)))).filter(F.col("k") <= last)
+    tail = points.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(size)))).filter(F.col("_k") <= last)
     found = tail.groupBy(key).agg(F.count("*").alias("n"), (F.max(median) / F.min(median) - 1).alias("span"), F.max(cv).alias("worst_cv"), F.max_by(median, size).alias("at_last"))
     flat = (F.col("n") == last) & (F.col("span") <= limit) & (F.col("worst_cv") <= limit)
     return found.withColumn("plateau", flat).withColumn("value", F.when(flat, F.col("at_last"))).withColumn("reason", F.when(~flat, "n/a - data edge: no plateau up to the largest size"))
