@@ -107,7 +107,7 @@ def spans_of(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.StringType())
 def redacted(texts: pa.Array) -> pa.Array:
-    return pa.array([t and redact_text(t) for t in map(pa.Scalar.as_py, texts)], pa.string())
+    return pa.array([t and redact_text(t) for t in texts.to_pylist()], pa.string())
 
 
 def redact_text(text: str) -> str:
