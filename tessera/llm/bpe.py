@@ -249,7 +249,8 @@ def piece_table(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
 
 def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id and text of a table of doc_id and ids. The broadcast side has one row for each id of the vocabulary."""
-    rows = tokens.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("key"), F.posexplode_outer("ids").alias("at", "id"))
+    keyed = tokens.select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))  # before the rows are exploded
+    rows = keyed.select(F.struct("doc_id", "row").alias("key"), F.posexplode_outer("ids").alias("at", "id"))
     found = rows.join(F.broadcast(piece_table(tokens.sparkSession, path)), "id", "left").groupBy("key")
     ordered = F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.hex("piece"), F.lit("")).alias("piece"))))
     return found.agg(F.decode(F.unhex(F.array_join(F.transform(ordered, lambda x: x["piece"]), "")), "utf-8").alias("text")).select("key.doc_id", "text")
