@@ -36,7 +36,7 @@ from tokenizers import Tokenizer
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-BLOCK = 24 << 20
+BLOCK = 10 << 20
 #: Bytes of documents returned to Spark at once.
 BATCH = 4 << 20
 
