@@ -121,13 +121,12 @@ def _rows(block: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _split(path: str, buckets: int, bodies: bool):
-    """Blocks of documents: their bodies (part -1), or their distinct words in sorted order by bucket."""
+    """Blocks of documents: their bodies (part -1), or their distinct words by bucket."""
 
     def finish(nth, ids, lengths, numbers, flat, digest):
         words = [w.encode() for w in numbers]
         part = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-        order = order[np.argsort(part[order], kind="stable")]
+        order = np.argsort(part, kind="stable")  # within a bucket, by first appearance in the block
         block = f"{TaskContext.get().partitionId()}-{nth}-{digest.hexdigest()[:24]}"
         if bodies:
             place = np.empty(len(order), np.uint32)
