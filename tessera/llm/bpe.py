@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 BLOCK = 10 << 20
@@ -233,6 +233,7 @@ def _assemble(path: str):
 
 def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, ids (array<int>) and decoded (text) of every row."""
+    small_batches(docs.sparkSession)
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = docs.mapInArrow(_split(path, buckets, False), _BLOCK).select("block", "part", "payload")

@@ -12,6 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 _local: list[str] = []
 
 
+#: Most bytes that Spark hands to Python at once, so that many long rows do not meet in a task's memory.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES, unless the session states a bound of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 from .textblocks import LOWER, Hasher, bounds, chunks, owners
 
 WINDOW, SHARE = 13, 20
@@ -37,7 +37,7 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def _terms(texts: pa.Array, limit: int = 4 << 20):
+def _terms(texts: pa.Array, limit: int = 1 << 20):
     """(first row, rows, row of each word, hash of each word) by chunks of texts."""
     for first, n, data, off in chunks(texts, limit):
         data = LOWER[data]
@@ -172,6 +172,7 @@ def _search(tests: list, slop: int):
 
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
     """doc_id, n_words, n_hit (words inside a matched window) and items (sorted ids of items with one) of every row."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     tests = scratch.cut(windows(items, size))
     found = scratch.cut(index(docs, _bit_set(tests)))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -107,7 +107,7 @@ def spans_of(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.StringType())
 def redacted(texts: pa.Array) -> pa.Array:
-    return pa.array([t and redact_text(t) for t in texts.to_pylist()], pa.string())
+    return pa.array([redact_text(t.as_py()) if t.is_valid else None for t in texts], pa.string())
 
 
 def redact_text(text: str) -> str:
@@ -122,11 +122,13 @@ def redact_text(text: str) -> str:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and found, an array of (kind, start, end, score)."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", spans_of(docs["text"]).alias("found"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with spans replaced in text, and n_chars set to the new length where there is such a column."""
+    small_batches(docs.sparkSession)
     out = docs.withColumn("text", redacted(docs["text"]))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 

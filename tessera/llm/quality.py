@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 from .labelled import ROWS_PER_CLASS, remainder, sample
 from .textblocks import LOWER, Hasher, bounds, chunks, owners
 
@@ -135,6 +135,7 @@ def fit(rows: DataFrame) -> Ensemble:
 
 def train(docs: DataFrame, labels: DataFrame) -> Ensemble:
     """An ensemble fitted on labels whose crc32(doc_id) mod 3 is not 1."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     rows = sample(docs, labels, "quality", remainder(F.col("doc_id"), 3) != 1, ROWS_PER_CLASS)
     rows = scratch.cut(rows.select(statistics(rows["text"]).alias("stats"), "label").orderBy("label", "stats"))  # ordered, so that fits repeat

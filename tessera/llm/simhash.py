@@ -18,6 +18,7 @@ an empty table gives no rows; other columns, whatever their names, pass through
 from __future__ import annotations
 
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
 #: Shift and width of the three segments.
@@ -54,12 +55,13 @@ def fingerprint(text: bytes) -> int:
 
 @F.arrow_udf(T.LongType())
 def fingerprint_of(texts: pa.Array) -> pa.Array:
-    found = [fingerprint(t) if t else 0 for t in texts.cast(pa.large_binary()).to_pylist()]
+    found = [fingerprint(t.as_py()) if t.is_valid else 0 for t in texts.cast(pa.large_binary())]
     return pa.array(np.array(found, np.uint64).view(np.int64))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", fingerprint_of(docs["text"]).alias("fp"))
 
 
@@ -74,10 +76,7 @@ def _syndromes(x: np.ndarray) -> np.ndarray:
 @cache
 def error_patterns() -> np.ndarray:
     """By syndrome: the pattern of weight 3 or less first, then those of weight 4; -1 where there are fewer than six."""
-    every = np.arange(1 << 23)
-    weight = np.bitwise_count(every)
-    near = every[weight <= 4]
-    near = near[np.argsort(weight[near], kind="stable")]
+    near = np.array([sum(1 << bit for bit in bits) for weight in range(5) for bits in combinations(range(23), weight)])
     at = _syndromes(near)
     out = np.full((1 << 11, 6), -1, np.int64)
     used = np.zeros(1 << 11, np.int64)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes worked on at once; a longer text makes a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 _MUL = 0x9E3779B97F4A7C15
 _INV = pow(_MUL, -1, 1 << 64)
 _bytes = np.arange(256, dtype=np.uint8)
@@ -67,7 +67,9 @@ class Hasher:
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sum = np.zeros(n + 1, np.uint64)
-        np.cumsum(self._salt[data] * _power(_MUL, n), out=self.sum[1:])
+        salted = self._salt[data]
+        salted *= _power(_MUL, n)
+        np.cumsum(salted, out=self.sum[1:])
         self.inverse = _power(_INV, n + 1)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 from .labelled import ROWS_PER_CLASS, remainder, sample
 from .textblocks import LOWER, Hasher, bounds, chunks, owners
 
@@ -143,6 +143,7 @@ def score(model: Machine, text: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """A machine fitted on labels whose crc32(doc_id) mod 5 is not 0."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     rows = scratch.cut(sample(docs, labels, "toxic", remainder(F.col("doc_id"), 5) != 0, ROWS_PER_CLASS))
     model = fit(rows)
