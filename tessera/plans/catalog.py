@@ -6,27 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals, judges, metrics, pareto, quantile
-from . import views
+from . import evidence, views  # noqa: F401  evidence registers its queries
+from .registry import ORACLE_SQL, QUERIES, query, r9  # noqa: F401
 from .views import sql, table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, text: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if text:
-            ORACLE_SQL[name] = text
-        return f
-
-    return add
-
-
-def r9(x):
-    return F.round(x, 9)
-
-
 # Percentiles, medians, spread
 
 _NEAREST = "SELECT codec, count(*) AS n, percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) AS p95, percentile_disc(0.99) WITHIN GROUP (ORDER BY latency_ms) AS p99 FROM samples GROUP BY codec"
