@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import cells, evidence, intervals, metrics
+from ..operators import cells, evidence, generators, intervals, metrics, quantile
+from ..sources import store
 from . import views
 from .registry import query, r9
 from .views import sql, table
@@ -328,8 +329,6 @@ def a32(spark, d):
 
 @query("v13_quantile_order", sql("SELECT codec, config, p50 <= p95 AND p95 <= p99 AS ordered, n FROM (SELECT codec, config, count(*) AS n, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, quantile_disc(latency_ms, 0.99) AS p99 FROM samples GROUP BY codec, config)", "samples"))
 def v13(spark, d):
-    from ..operators import quantile
-
     q = quantile.nearest_rank(views.samples(spark, d), ["codec", "config"], "latency_ms", {"p50": 50, "p95": 95, "p99": 99})
     return q.select("codec", "config", ((F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("p99"))).alias("ordered"), "n")
 
@@ -349,3 +348,57 @@ def v22(spark, d):
     odd = F.col("size") != 4096
     last = F.max_by(odd.cast("int"), "at")
     return b.groupBy("unit_id").agg(F.count("*").alias("blocks"), (F.count_if(odd) - last).alias("unmatched"))
+
+
+# Generators
+
+@query("g01_region_trace", "WITH RECURSIVE r(k, s) AS (SELECT 0, 20260909::HUGEINT UNION ALL SELECT k + 1, (s * 6364136223846793005::HUGEINT + 1442695040888963407::HUGEINT) % 18446744073709551616::HUGEINT FROM r WHERE k < 210) SELECT CAST(k - 11 AS BIGINT) AS query, CAST(s % (1000000 - 16384 + 1) AS BIGINT) AS byte_offset FROM r WHERE k > 0 UNION ALL SELECT -12, 0 UNION ALL SELECT -11, 1000000 - 16384")
+def g01(spark, d):
+    return generators.region_trace(spark, 1000000, 16384)
+
+
+_MIX = "SELECT i, (20260910::UHUGEINT + (i + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM range(20000) t(i)"
+_MIXED = "SELECT i, xor(z, z >> 31) AS z FROM (SELECT i, (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM (SELECT i, (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM m))"
+
+
+@query("g02_splitmix_draws", sql("SELECT i, CAST(z % 50000000 AS BIGINT) AS draw, CAST(z >> 11 AS DOUBLE) / 9007199254740992 AS uniform FROM x", m=_MIX, x=_MIXED))
+def g02(spark, d):
+    return generators.draws(spark, 20000, 50000000)
+
+
+@query("g03_clustered_profile", sql("SELECT b.i, a.z % (50000000 - 1048576 + 1) AS anchor, anchor + b.z % (1048576 - 16384 + 1) AS byte_offset FROM (SELECT i, CAST(z % 50000000 AS BIGINT) AS z FROM x) b JOIN (SELECT i, CAST(z % 50000000 AS BIGINT) AS z FROM x) a ON a.i = b.i - b.i % 32", m=_MIX, x=_MIXED))
+def g03(spark, d):
+    return generators.clustered(generators.draws(spark, 20000, 50000000), 50000000, 16384)
+
+
+# The block store
+
+_BYTES = "SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS size FROM documents WHERE text <> ''"
+_WORK = "least(((hi - 1) // 1024 + 1) * 1024, size) - lo // 1024 * 1024"
+
+
+def _store(spark, d):
+    t = table(spark, d, "documents").filter("text <> ''").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    return t, store.encode(t.select(F.col("doc_id").cast("string").alias("corpus"), F.lit(0).cast("long").alias("piece_off"), "bytes"), "zlib", 1024)
+
+
+@query("b03_region_reads", sql(f"SELECT doc_id AS request_id, sha256(unhex(substr(h, 2 * lo + 1, 2 * (hi - lo)))) AS sha, (hi - 1) // 1024 - lo // 1024 + 1 AS blocks, {_WORK} AS decoded FROM (SELECT *, least(size, lo + 1 + doc_id % 5000) AS hi FROM (SELECT *, doc_id * 7919 % size AS lo FROM t))", t=_BYTES))
+def b03(spark, d):
+    """A byte range of every text, read through the store that was built of all texts."""
+    t, blocks = _store(spark, d)
+    asked = t.select(F.col("doc_id").alias("request_id"), F.col("doc_id").cast("string").alias("corpus"), F.length("bytes").cast("long").alias("size")).withColumn("lo", F.col("request_id") * 7919 % F.col("size"))
+    asked = asked.withColumn("hi", F.least("size", F.col("lo") + 1 + F.col("request_id") % 5000))
+    return store.read(blocks, asked, "zlib", 1024).select("request_id", F.sha2("bytes", 256).alias("sha"), "blocks", "decoded")
+
+
+@query("b04_full_decode", sql("SELECT doc_id AS request_id, sha256(unhex(h)) AS sha, size AS bytes FROM t", t=_BYTES))
+def b04(spark, d):
+    t, blocks = _store(spark, d)
+    asked = t.select(F.col("doc_id").alias("request_id"), F.col("doc_id").cast("string").alias("corpus"), F.lit(0).cast("long").alias("lo"), F.length("bytes").cast("long").alias("hi"))
+    return store.read(blocks, asked, "zlib", 1024).select("request_id", F.sha2("bytes", 256).alias("sha"), F.length("bytes").cast("long").alias("bytes"))
+
+
+@query("b01_encoded_blocks", sql("SELECT CAST(doc_id AS VARCHAR) AS corpus, (size + 1023) // 1024 AS units, size AS raw, least(size, 1024) AS largest, true AS whole FROM t", t=_BYTES))
+def b01(spark, d):
+    """Geometry of the blocks that encoding made; stored bytes depend on the compressor and are left out."""
+    return store.geometry(_store(spark, d)[1]).select("corpus", "units", "raw", "largest", "whole")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import cells, evidence
+from tessera.operators import cells, evidence, generators
 from tessera.sources import sinks
 
 
@@ -66,3 +66,23 @@ def test_sinks(spark, tmp_path):
     sinks.replace_group(spark.createDataFrame([(1, "p"), (2, "q")], "v int, g string"), f"{tmp_path}/g", "g")
     sinks.replace_group(spark.createDataFrame([(9, "q")], "v int, g string"), f"{tmp_path}/g", "g")
     assert rows(spark.read.parquet(f"{tmp_path}/g").select("v", "g")) == [(1, "p"), (9, "q")]
+
+
+def test_splitmix_is_the_sequential_generator(spark):
+    state, want = 7, []
+    for _ in range(50):
+        state = (state + generators.SPLITMIX[0]) % generators.WORD
+        z = (state ^ state >> 30) * generators.SPLITMIX[1] % generators.WORD
+        z = (z ^ z >> 27) * generators.SPLITMIX[2] % generators.WORD
+        want.append(z ^ z >> 31)
+    bound = (1 << 63) - 25  # refuses about half of a word's values
+    limit = generators.WORD - generators.WORD % bound
+    assert rows(generators.draws(spark, 50, bound, 7).select("i", "draw")) == [(k, z % bound) for k, z in enumerate(want) if z < limit]
+    assert rows(generators.draws(spark, 50, 64, 7).select("draw", "i")) == sorted((z % 64, k) for k, z in enumerate(want))
+
+
+def test_region_trace_boundaries(spark):
+    t = dict(rows(generators.region_trace(spark, 100, 100)))
+    assert len(t) == 212 and set(t.values()) == {0} and min(t) == -12 and max(t) == 199
+    with pytest.raises(ValueError):
+        generators.region_trace(spark, 10, 11)
