@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, small_batches, table
-from .labelled import ROWS_PER_CLASS, remainder, sample
+from .labelled import ROWS_PER_CLASS, remainder, sample, shift
 from .textblocks import LOWER, Hasher, bounds, chunks, owners
 
 #: Byte classes whose share of the text is a statistic.
@@ -116,8 +116,8 @@ def _paths(node, held: dict[int, tuple[float, float]]) -> list[Rule]:
     return found + _paths(node.leftChild(), held | {i: (lo, min(hi, cut))}) + _paths(node.rightChild(), held | {i: (max(lo, cut), hi)})
 
 
-def fit(rows: DataFrame) -> Ensemble:
-    """rows: stats (array of STATISTICS) and label (0 or 1)."""
+def fit(rows: DataFrame, prior: float = 0.0) -> Ensemble:
+    """rows: stats (array of STATISTICS) and label (0 or 1); prior is added to the log-odds if both classes occur."""
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
@@ -126,26 +126,27 @@ def fit(rows: DataFrame) -> Ensemble:
     trees = forest.fit(rows.select(array_to_vector("stats").alias("features"), F.col("label").cast("double").alias("label"))).trees
     rules = list(dict.fromkeys(r for t in trees for r in _paths(t._call_java("rootNode"), {})))
     if not rules:
-        return Ensemble(float(np.log(n1 / n0)), [])
+        return Ensemble(float(np.log(n1 / n0)) + prior, [])
     held = F.array(*[r.column(F.col("stats")).cast("double") for r in rules])
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, maxIter=60)
     model = lasso.fit(rows.select(array_to_vector(held).alias("features"), F.col("label").cast("double").alias("label")))
-    return Ensemble(float(model.intercept), [(r, float(w)) for r, w in zip(rules, model.coefficients.toArray()) if w])
+    return Ensemble(float(model.intercept) + prior, [(r, float(w)) for r, w in zip(rules, model.coefficients.toArray()) if w])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Ensemble:
-    """An ensemble fitted on labels whose crc32(doc_id) mod 3 is not 1."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -> Ensemble:
+    """An ensemble fitted on labels whose crc32(doc_id) mod 3 is not 1, at most per_class of each class, with the prior of all of them."""
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
-    rows = sample(docs, labels, "quality", remainder(F.col("doc_id"), 3) != 1, ROWS_PER_CLASS)
+    which = labels, "quality", remainder(F.col("doc_id"), 3) != 1, per_class
+    rows = sample(docs, *which)
     rows = scratch.cut(rows.select(statistics(rows["text"]).alias("stats"), "label").orderBy("label", "stats"))  # ordered, so that fits repeat
-    model = fit(rows)
+    model = fit(rows, shift(*which))
     scratch.drop(rows)
     return model
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = train(docs, labels)
+def scores(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -> DataFrame:
+    model = train(docs, labels, per_class)
     found = docs.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), statistics(docs["text"]).alias("stats"))
     found = found.select("doc_id", "held_out", model.column(F.col("stats")).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

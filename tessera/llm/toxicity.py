@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, small_batches, table
-from .labelled import ROWS_PER_CLASS, remainder, sample
+from .labelled import ROWS_PER_CLASS, remainder, sample, shift
 from .textblocks import LOWER, Hasher, bounds, chunks, owners
 
 BUCKETS, INPUTS, FACTORS, PREFIXES = 1 << 20, 2048, 8, range(3, 9)
@@ -78,8 +78,8 @@ def _counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(pos[used]), pa.array(neg[used])], ["bucket", "pos", "neg"])
 
 
-def fit(rows: DataFrame) -> Machine:
-    """rows: text and label (0 or 1), at most 2 * ROWS_PER_CLASS of them."""
+def fit(rows: DataFrame, prior: float = 0.0) -> Machine:
+    """rows: text and label (0 or 1), at most 2 * ROWS_PER_CLASS of them; prior is added to the log-odds if both classes occur."""
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     none = Machine(np.zeros(0, np.int64), float(np.log((n1 + 0.5) / (n0 + 0.5))), np.zeros(0), np.zeros((0, FACTORS)))
@@ -102,7 +102,9 @@ def fit(rows: DataFrame) -> Machine:
 
     matrix = rows.mapInArrow(present, "label int, inputs array<int>").orderBy("label", "inputs").toArrow()  # bounded; ordered, so that fits repeat
     lists = matrix.column("inputs").combine_chunks()
-    return _train(model, matrix.column("label").to_numpy(), np.asarray(lists.flatten()), np.asarray(lists.value_lengths()))
+    model = _train(model, matrix.column("label").to_numpy(), np.asarray(lists.flatten()), np.asarray(lists.value_lengths()))
+    model.bias += prior
+    return model
 
 
 def _train(model: Machine, label: np.ndarray, inputs: np.ndarray, lengths: np.ndarray, epochs: int = 40, step: float = 0.05, decay: float = 1e-4) -> Machine:
@@ -141,18 +143,19 @@ def score(model: Machine, text: Column) -> Column:
     return run(text)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    """A machine fitted on labels whose crc32(doc_id) mod 5 is not 0."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -> Machine:
+    """A machine fitted on labels whose crc32(doc_id) mod 5 is not 0, at most per_class of each class, with the prior of all of them."""
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.cut(sample(docs, labels, "toxic", remainder(F.col("doc_id"), 5) != 0, ROWS_PER_CLASS))
-    model = fit(rows)
+    which = labels, "toxic", remainder(F.col("doc_id"), 5) != 0, per_class
+    rows = scratch.cut(sample(docs, *which))
+    model = fit(rows, shift(*which))
     scratch.drop(rows)
     return model
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    found = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), score(train(docs, labels), docs["text"]).alias("score"))
+def scores(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -> DataFrame:
+    found = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), score(train(docs, labels, per_class), docs["text"]).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
