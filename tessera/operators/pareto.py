@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def front_by_dominance(rows: DataFrame) -> DataFrame:
-    """Rows that no other dominates, by a theta anti join: the definition, for small inputs and as a check of skyline()."""
-    o = rows.select(F.col("ratio").alias("r2"), F.col("p50").alias("p2"))
+def front_by_dominance(rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Rows that no other dominates, by a theta anti join: the definition, for small inputs and as a check of skyline().
+
+    others: the rows that may dominate, all by default; the front of all rows is enough.
+    """
+    others = rows if others is None else others
+    o = others.select(F.col("ratio").alias("r2"), F.col("p50").alias("p2"))
     beats = (F.col("r2") >= F.col("ratio")) & (F.col("p2") <= F.col("p50")) & ((F.col("r2") > F.col("ratio")) | (F.col("p2") < F.col("p50")))
     return rows.join(o, beats, "left_anti")
 

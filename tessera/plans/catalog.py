@@ -152,6 +152,13 @@ def j14(spark, d):
     return pareto.front_by_dominance(points(spark, d).filter("cast(element_at(split(key, ':'), -1) as long) % 10 = 0"))
 
 
+@query("j14_pareto_anti_all", sql(f"SELECT * FROM p r WHERE NOT EXISTS (SELECT 1 FROM p o WHERE {_BEATS})", "archives", p=_PICK_KEY))
+def j14_all(spark, d):
+    """The front of all rows by the anti join: a row that any row dominates is dominated by one on the front, so pairs are rows x front."""
+    p = points(spark, d)
+    return pareto.front_by_dominance(p, pareto.skyline(p))
+
+
 @query("w05_constrained_best", sql("SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY codec ORDER BY ratio DESC, p50, g, key) AS k FROM p WHERE p50 <= 200) WHERE k = 1", "archives", p=_PICK_KEY))
 def w05(spark, d):
     return pareto.best_per(points(spark, d), "codec", [F.desc("ratio"), F.col("p50"), F.col("g"), F.col("key")], F.col("p50") <= 200)
@@ -451,6 +458,13 @@ def a29(spark, d):
     return s.select("config", F.when(F.size("c") == 1, F.col("c")[0]).alias("codec"), F.size("c").cast("long").alias("codecs"))
 
 
+@query("a29_singletons_all", sql("SELECT config, CASE WHEN count(DISTINCT codec) = 1 THEN min(codec) END AS codec, count(DISTINCT codec) AS codecs FROM samples GROUP BY config", "samples"))
+def a29_all(spark, d):
+    """a29 over every sample."""
+    s = views.samples(spark, d).groupBy("config").agg(F.collect_set("codec").alias("c"))
+    return s.select("config", F.when(F.size("c") == 1, F.col("c")[0]).alias("codec"), F.size("c").cast("long").alias("codecs"))
+
+
 @query("p09_wide_pivot", sql("SELECT codec, " + ", ".join(f"max(latency_ms) FILTER (WHERE config = {k}) AS c{k}" for k in range(3)) + " FROM samples GROUP BY codec", "samples"))
 def p09(spark, d):
     """Long metrics as columns; the values are named, so no pass looks for them."""
@@ -458,6 +472,13 @@ def p09(spark, d):
     return s.select("codec", *[F.col(str(k)).alias(f"c{k}") for k in range(3)])
 
 
+@query("p09_wide_pivot_all", sql("SELECT codec, " + ", ".join(f"max(latency_ms) FILTER (WHERE config = {k}) AS c{k}" for k in range(10)) + " FROM samples GROUP BY codec", "samples"))
+def p09_all(spark, d):
+    """p09 with each of the ten configs that views.samples makes."""
+    s = views.samples(spark, d).groupBy("codec").pivot("config", list(range(10))).agg(F.max("latency_ms"))
+    return s.select("codec", *[F.col(str(k)).alias(f"c{k}") for k in range(10)])
+
+
 @query("u01_union_families", sql("SELECT 'samples' AS family, codec, count(*) AS n FROM samples GROUP BY codec UNION ALL SELECT 'decodes', codec, count(*) FROM decodes GROUP BY codec UNION ALL SELECT 'archives', codec, count(*) FROM archives GROUP BY codec", "samples", "decodes", "archives"))
 def u01(spark, d):
     one = lambda name: getattr(views, name)(spark, d).groupBy("codec").agg(F.count("*").alias("n")).select(F.lit(name).alias("family"), "codec", "n")
