@@ -5,15 +5,16 @@ belong to one equivalence class if they occur equally often in each of the host'
 never built: its fingerprint is the XOR of hash(page, count) over the pages, with the number of pages and the total, which
 is aggregated before the shuffle however many pages a host has. Classes with enough support are large and frequent; a
 class is valid if its tokens come in the same order in every page and none of its gaps is crossed by another class
-(classes nest). Valid classes are the host's template. Text in it is boilerplate; what remains are the slots, of which
-those inside the article (or, without one, outside menus, headers, footers, sidebars, notices, adverts, forms and
+(classes nest). Valid classes are the host's template. Text in it is boilerplate, unless it stands in an article or main
+element: what the articles of a host share is part of each. What remains are the slots, of which those inside the article (or, without one, outside menus, headers, footers, sidebars, notices, adverts, forms and
 comments by element, role, class or id) are the main text.
 
 Templates go to the pages by a broadcast if their size, which is counted first, is at most BROADCAST rows, else by a
 shuffled join on the host whose hot hosts Spark can split.
 
 Defined results: null html and url are empty; pages without a host, and hosts with fewer than MIN_PAGES different pages,
-have no template; repeated rows are pages like any other for the result but do not add support; other columns are ignored.
+have no template; repeated pages, also those that differ only in comments, scripts or attributes, are pages like any other for the result but
+do not add support; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,7 +136,7 @@ def tokens(page: str) -> list[tuple[int, bool]]:
 
 def main_text(page: str, template: frozenset[int]) -> str:
     found = parse(page)
-    slots = [t for t in found if t[1] == "text" and not t[2] and not (template and _key(t[0], "text", _clean(t[5])) in template)]
+    slots = [t for t in found if t[1] == "text" and not t[2] and not (template and not t[3] and _key(t[0], "text", _clean(t[5])) in template)]
     if any(t[3] for t in slots):
         slots = [t for t in slots if t[3]]
     blocks: list[list] = []
@@ -147,18 +148,24 @@ def main_text(page: str, template: frozenset[int]) -> str:
     return "\n".join(t for _, raws in blocks if (t := _clean("".join(raws))))
 
 
-_TOKENS = T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("text", T.BooleanType())]))
-_arrow_tokens = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32()), ("first", pa.int32()), ("text", pa.bool_())]))
+def _sequence(keys: list[int]) -> int:
+    return xxhash.xxh64_intdigest(np.array(keys, np.int64).tobytes()) - (1 << 63)
+
+
+_TOKENS = T.StructType([T.StructField("page", T.LongType()), T.StructField("t", T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("text", T.BooleanType())])))])
+_arrow_tokens = pa.struct([("page", pa.int64()), ("t", pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32()), ("first", pa.int32()), ("text", pa.bool_())])))])
 
 
 @F.arrow_udf(_TOKENS)
 def _counted(pages: pa.Array) -> pa.Array:
+    """A hash of each page's sequence of tokens, and the distinct ones."""
     out = []
     for page in pages:
         seen: dict[int, dict] = {}
-        for at, (key, text) in enumerate(tokens(page.as_py() or "")):
+        found = tokens(page.as_py() or "")
+        for at, (key, text) in enumerate(found):
             seen.setdefault(key, {"token": key, "n": 0, "first": at, "text": text})["n"] += 1
-        out.append(list(seen.values()))
+        out.append({"page": _sequence([key for key, _ in found]), "t": list(seen.values())})
     return pa.array(out, _arrow_tokens)
 
 
@@ -185,14 +192,14 @@ def _arranged(pages: pa.Array) -> pa.Array:
             order.setdefault(c, []).append(t["token"])
             while open_ and last[open_[-1]] <= k:
                 open_.pop()
-        out.append([{"c": c, "order": xxhash.xxh64_intdigest(np.array(o, np.int64).tobytes()) - (1 << 63), "nested": c not in crossed} for c, o in order.items()])
+        out.append([{"c": c, "order": _sequence(o), "nested": c not in crossed} for c, o in order.items()])
     return pa.array(out, _arrow_classes)
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host and token of the texts in each host's template. pages: host, html."""
     scratch = Scratch(pages.sparkSession)
-    seen = pages.filter("host is not null").select("host", F.xxhash64("html").alias("page"), _counted(pages["html"]).alias("t"))
+    seen = pages.filter("host is not null").select("host", _counted(pages["html"]).alias("x")).select("host", "x.page", "x.t")
     seen = scratch.cut(seen.dropDuplicates(["host", "page"]))  # a repeated page adds no support
     hosts = seen.groupBy("host").agg(F.count("*").alias("of")).filter(F.col("of") >= MIN_PAGES)
     each = seen.select("host", "page", F.explode("t").alias("t")).select("host", "page", "t.*")
