@@ -35,8 +35,12 @@ from .common import Scratch, table
 MIN_PAGES, SUPPORT = 6, 0.6
 BROADCAST = 200_000
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
-_mark = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_token = re.compile(r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
+_attribute = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Words that say of a name that it tells how the page is laid out: no-sidebar, has-menu.
+LAYOUT = frozenset("no not non without has have with".split())
+#: Elements that a head may hold; any other block ends it, as its end tag is optional.
+IN_HEAD = frozenset("html head title base link meta script style noscript template".split())
 _part = re.compile(r"[a-z]+")
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,21 +66,22 @@ class _Element:
 def _marks(attributes: str) -> tuple[str, str, bool]:
     """Class and id names, role, and whether the element is hidden."""
     names, role, hidden = "", "", False
-    for m in _mark.finditer(attributes):
+    for m in _attribute.finditer(attributes):  # pair after pair, so that no value is read as an attribute
         value = m[2] or m[3] or m[4] or ""
         key = m[1].lower()
         if key == "role":
             role = value.lower()
         elif key in ("class", "id"):
             names += " " + value
-        else:
+        elif key in ("hidden", "aria-hidden"):
             hidden |= key == "hidden" or value.lower() == "true"
     return names.strip(), role, hidden
 
 
 def _opened(name: str, attributes: str, above: _Element, nth: int) -> _Element:
     names, role, hidden = _marks(attributes) if attributes.strip() else ("", "", False)
-    parts = set(_part.findall(_camel.sub(" ", names).lower())) if names else set()
+    each = [_part.findall(_camel.sub(" ", x).lower()) for x in names.split()]
+    parts = {p for found in each if LAYOUT.isdisjoint(found) for p in found}
     article = above.article or name in ("article", "main") or role in ("article", "main") or "articlebody" in names.lower()
     boilerplate = above.boilerplate or hidden or name in BOILERPLATE or role in ROLES or (name == "header" and not above.article) or (bool(parts & NAMES) and name not in ("html", "body", "article", "main"))
     return _Element(name, f"{above.path}/{name}.{names}" if names else f"{above.path}/{name}", boilerplate, article, nth if name in BLOCKS else above.block)
@@ -101,6 +106,10 @@ def parse(page: str) -> list[tuple[str, str, bool, bool, int, str]]:
                 out.append((stack[at].path, "close", False, False, 0, ""))
                 del stack[at:]
         elif name not in VOID:
+            if name in BLOCKS and name not in IN_HEAD:
+                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == "head"), 0)
+                if at:
+                    del stack[at:]
             if name in CLOSES_P:  # an open paragraph, and inline elements left open in it, end here
                 at = len(stack) - 1
                 while at and stack[at].name in INLINE:
