@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 
@@ -50,6 +51,13 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def numbered(self, df: DataFrame) -> tuple[DataFrame, str]:
+        """df written with a number of its own for each row, and the name of that column."""
+        name = "_row"
+        while name.lower() in (c.lower() for c in df.columns):
+            name += "_"
+        return self.cut(df.withColumn(name, F.monotonically_increasing_id())), name
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete the files of tables that no later step reads."""
         jvm = self.spark._jvm

@@ -200,9 +200,10 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with the columns they have. Rows that repeat a doc_id stay or go together."""
-    bad = judged(matches(docs, items)).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The documents that are not contaminated, with the columns they have. Each row is judged by its own text, whatever its doc_id."""
+    rows, row = Scratch(docs.sparkSession).numbered(docs)
+    bad = judged(matches(rows.select(F.col(row).alias("doc_id"), "text"), items)).filter("contaminated").select(F.col("doc_id").alias("bad"))
+    return rows.join(bad, rows[row] == bad["bad"], "left_anti").drop(row)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,14 +145,19 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def _rooted(scratch: Scratch, fps: DataFrame, first: Column) -> DataFrame:
+    """fp, root of its component and first (an aggregate over the rows of fp) of every fingerprint."""
+    nodes = scratch.cut(fps.groupBy("fp").agg(first.alias("first")))
+    roots = components(scratch, links(nodes))
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return scratch.cut(named)
+
+
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row, and (fp, component_id, n_links) of every fingerprint."""
+    """(doc_id, fp) of every row, and (fp, component_id) of every fingerprint."""
     scratch = Scratch(docs.sparkSession)
     fps = scratch.cut(fingerprints(docs))
-    nodes = scratch.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(scratch, links(nodes))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = scratch.cut(named)
+    named = _rooted(scratch, fps, F.min("doc_id"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps, named.join(least, "root").select("fp", "component_id")
 
@@ -164,10 +169,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of its smallest doc_id. Rows that repeat a doc_id are one document; any one stays."""
-    fps, groups = _grouped(docs)
-    keep = groups.select("component_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["component_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component: that of its smallest doc_id (null after all others), one of them if several rows have it.
+
+    Rows are told apart by a number of their own, so texts that share a doc_id, or have none, stay if their components differ.
+    """
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    rows, row = scratch.numbered(docs)
+    fps = scratch.cut(rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias("place"), fingerprint_of(rows["text"]).alias("fp")))
+    keep = _rooted(scratch, fps, F.min("place")).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept"))
+    return rows.join(keep, rows[row] == keep["kept"], "left_semi").drop(row)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
