@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
 
@@ -28,27 +27,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a private one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. Only a local master may leave it unset, and gets a private one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="tessera-"))
-        atexit.register(shutil.rmtree, _local[0], True)
     return f"file://{_local[0]}"
 
 
 class Scratch:
-    """Written intermediate tables of one job. They outlive lost executors; drop() frees a superseded one."""
+    """Written intermediate tables of one job. They outlive lost executors; drop() frees a superseded one.
+
+    A result reads its tables whenever it is used, so what is left of them is deleted by close(), or when the driver ends.
+    """
+
+    _kept: list[Scratch] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-        self.paths: list[str] = []
+        self.made = 0
+        Scratch._kept.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{len(self.paths)}"
+        path = f"{self.base}/{self.made}"
+        self.made += 1
         df.write.parquet(path)
-        self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def numbered(self, df: DataFrame) -> tuple[DataFrame, str]:
@@ -60,7 +66,24 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete the files of tables that no later step reads."""
-        jvm = self.spark._jvm
         for path in {f.rpartition("/")[0] for frame in frames for f in frame.inputFiles()}:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(path)
+
+    def close(self) -> None:
+        """Delete all that is left."""
+        if self.made:
+            self._delete(self.base)
+            self.made = 0
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _close_all() -> None:
+    for scratch in Scratch._kept:
+        try:
+            scratch.close()
+        except Exception:  # noqa: BLE001  the session is gone
+            return

@@ -1,245 +1,298 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a row of tokens: tags, and runs of text, each with the path of elements it stands in. Two tokens of a host
-belong to one equivalence class if they occur equally often in each of the host's pages. A token's occurrence vector is
-never built: its fingerprint is the XOR of hash(page, count) over the pages, with the number of pages and the total, which
-is aggregated before the shuffle however many pages a host has. Classes with enough support are large and frequent; a
-class is valid if its tokens come in the same order in every page and none of its gaps is crossed by another class
-(classes nest). Valid classes are the host's template. Text in it is boilerplate, unless it stands in an article or main
-element: what the articles of a host share is part of each. What remains are the slots, of which those inside the article (or, without one, outside menus, headers, footers, sidebars, notices, adverts, forms and
-comments by element, role, class or id) are the main text.
-
-Templates go to the pages by a broadcast if their size, which is counted first, is at most BROADCAST rows, else by a
-shuffled join on the host whose hot hosts Spark can split.
-
-Defined results: null html and url are empty; pages without a host, and hosts with fewer than MIN_PAGES different pages,
-have no template; repeated pages, also those that differ only in comments, scripts or attributes, are pages like any other for the result but
-do not add support; other columns are ignored.
+A page is a sequence of tokens: the tags of its elements and the words of its texts, each with the place it stands in
+(the chain of elements and their classes). Pages of a host are dealt into groups of at most about GROUP pages, and every
+group deduces a template from all its pages:
+
+1. Tokens with equal occurrence vectors (how often they occur in each page) form an equivalence class.
+2. A class is kept if it is large and frequent (LEAST tokens, SUPPORT of the pages), if its tokens follow one another
+   in the same order in every page, once or cycle after cycle, and if it nests: against each class kept before it
+   (most frequent and largest first), either lies in one gap of the other.
+3. The kept classes are the template. What stands between consecutive tokens of a class is a slot. A slot whose content
+   is the same in every page is part of the template.
+
+The main text is read from the slots. Of the elements that the template has once a page, the main one is found by
+going down from the page into the container that holds most words of the slots, as long as no heading and no article
+stays outside; what stands outside it, and the blocks in it that are template words alone, is not main text. What
+elements, roles, classes and ids call menu, header, footer, sidebar, notice, advert, form or comment goes from it too, and
+if it has an article or main element, only that stays (there also text that all pages share, as it is part of each).
+Pages without a template, or without its main element, are judged by these names alone.
+
+A host's pages are counted first. Only hosts with more than one group need a number of groups; they are few (one for each
+GROUP pages at most) and go to the pages by a broadcast if at most BROADCAST, else by a join that Spark can split.
+
+Defined results: null html and url are empty; pages without a host, and groups with fewer than MIN_PAGES different pages,
+have no template; repeated pages, also those that differ only in comments, scripts or attributes, are pages like any
+other for the result but do not add support; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
-import re
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
+from .markup import Event, Places, parse
 
-#: Least different pages of a host that show a template, and least share of them that a class occurs in.
-MIN_PAGES, SUPPORT = 6, 0.6
+#: Least different pages that show a template, least share of them that a class occurs in, and least tokens of a class.
+MIN_PAGES, SUPPORT, LEAST = 6, 0.6, 3
+#: Pages of a group, and bytes of html, about.
+GROUP, GROUP_BYTES = 256, 4 << 20
 BROADCAST = 200_000
-
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
-_attribute = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-#: Words that say of a name that it tells how the page is laid out: no-sidebar, has-menu.
-LAYOUT = frozenset("no not non without has have with".split())
-#: Elements that a head may hold; any other block ends it, as its end tag is optional.
-IN_HEAD = frozenset("html head title base link meta script style noscript template".split())
-_part = re.compile(r"[a-z]+")
-_camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-CLOSES_P = BLOCKS - frozenset("body caption dd dt html li summary tbody td tfoot th thead title tr".split())
-INLINE = frozenset("a abbr b big cite code em font i mark q s small span strike strong sub sup tt u".split())
-BOILERPLATE = frozenset("nav aside footer form head title button select textarea menu dialog".split())
-ROLES = frozenset("navigation banner contentinfo complementary search menu menubar form dialog alert alertdialog".split())
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "sidebar footer masthead comment comments commentlist disqus replies cookie cookies consent gdpr notice notices popup modal overlay newsletter "
-    "subscribe subscription signup login share sharing social related recommended pagination pager toolbar widget".split()
-)
-
-
-class _Element:
-    __slots__ = ("article", "boilerplate", "block", "name", "path")
-
-    def __init__(self, name, path, boilerplate, article, block):
-        self.name, self.path, self.boilerplate, self.article, self.block = name, path, boilerplate, article, block
-
-
-def _marks(attributes: str) -> tuple[str, str, bool]:
-    """Class and id names, role, and whether the element is hidden."""
-    names, role, hidden = "", "", False
-    for m in _attribute.finditer(attributes):  # pair after pair, so that no value is read as an attribute
-        value = m[2] or m[3] or m[4] or ""
-        key = m[1].lower()
-        if key == "role":
-            role = value.lower()
-        elif key in ("class", "id"):
-            names += " " + value
-        elif key in ("hidden", "aria-hidden"):
-            hidden |= key == "hidden" or value.lower() == "true"
-    return names.strip(), role, hidden
-
-
-def _opened(name: str, attributes: str, above: _Element, nth: int) -> _Element:
-    names, role, hidden = _marks(attributes) if attributes.strip() else ("", "", False)
-    each = [_part.findall(_camel.sub(" ", x).lower()) for x in names.split()]
-    parts = {p for found in each if LAYOUT.isdisjoint(found) for p in found}
-    article = above.article or name in ("article", "main") or role in ("article", "main") or "articlebody" in names.lower()
-    boilerplate = above.boilerplate or hidden or name in BOILERPLATE or role in ROLES or (name == "header" and not above.article) or (bool(parts & NAMES) and name not in ("html", "body", "article", "main"))
-    return _Element(name, f"{above.path}/{name}.{names}" if names else f"{above.path}/{name}", boilerplate, article, nth if name in BLOCKS else above.block)
-
-
-def parse(page: str) -> list[tuple[str, str, bool, bool, int, str]]:
-    """Tokens in order: path, kind (open, close, text), boilerplate, in article, block, text."""
-    out, stack, nth = [], [_Element("", "", False, False, 0)], 0
-    for m in _token.finditer(page):
-        raw, name = m[0], m[3]
-        if name is None:
-            if raw[0] != "<" or raw == "<":
-                top = stack[-1]
-                out.append((top.path, "text", top.boilerplate, top.article, (top.block, nth), raw))
-            continue
-        name = name.lower()
-        if name in BLOCKS or name == "br":
-            nth += name in BLOCKS
-        if m[2]:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-            if at:
-                out.append((stack[at].path, "close", False, False, 0, ""))
-                del stack[at:]
-        elif name not in VOID:
-            if name in BLOCKS and name not in IN_HEAD:
-                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == "head"), 0)
-                if at:
-                    del stack[at:]
-            if name in CLOSES_P:  # an open paragraph, and inline elements left open in it, end here
-                at = len(stack) - 1
-                while at and stack[at].name in INLINE:
-                    at -= 1
-                if at and stack[at].name == "p":
-                    del stack[at:]
-            elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name in (name, "ul", "ol", "dl", "table")), 0)
-                if at and stack[at].name == name:
-                    del stack[at:]
-            stack.append(_opened(name, m[4] or "", stack[-1], nth))
-            out.append((stack[-1].path, "open", False, False, 0, ""))
-            if (m[4] or "").endswith("/"):
-                stack.pop()
-        elif name == "br":
-            top = stack[-1]
-            out.append((top.path, "text", top.boilerplate, top.article, (top.block, nth), " "))
-    return out
+#: Least share of the slots' words that a container holds to be gone into.
+MOST = 0.5
+CONTAINERS = frozenset("article body div main section td".split())
 
 
 def _clean(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-def _key(path: str, kind: str, text: str = "") -> int:
-    return xxhash.xxh64_intdigest(f"{kind}\0{path}\0{text}", 1) - (1 << 63)
+@dataclass(slots=True)
+class Page:
+    """Tokens as numbers that the pages of a group share, and the stretch of them that each text has."""
+
+    tokens: np.ndarray
+    texts: list[tuple[Event, int, int]]
+
+
+class _Words(dict):
+    """Numbers for the tokens of one kind and place."""
+
+    def __init__(self, each: list[tuple[str, int]], what: tuple[str, int]):
+        self.each, self.what = each, what
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self.each)
+        self.each.append(self.what)
+        return n
+
+
+class Tokens:
+    """Numbers for tokens; each has the kind and place of every number."""
+
+    def __init__(self):
+        self.places, self.each = Places(), []
+        self.known: dict[tuple[str, int], _Words] = {}
+
+    def page(self, text: str) -> Page:
+        events, numbers, texts = parse(text, self.places), [], []
+        for e in events:
+            known = self.known.get((e.kind, e.path)) or self.known.setdefault((e.kind, e.path), _Words(self.each, (e.kind, e.path)))
+            if e.kind == "text":
+                first = len(numbers)
+                numbers.extend(map(known.__getitem__, entities.unescape(e.text).split()))
+                texts.append((e, first, len(numbers)))
+            else:
+                numbers.append(known[""])
+        return Page(np.array(numbers, np.int64), texts)
+
+
+@dataclass
+class Template:
+    """classes: tokens of each kept class in order. fixed: whether the slot after each is the same in all pages."""
+
+    classes: list[list[int]] = field(default_factory=list)
+    fixed: list[list[bool]] = field(default_factory=list)
+    #: Class and position of each token.
+    at: dict[int, tuple[int, int]] = field(default_factory=dict)
+    #: Open and close token of the main element, if one was found.
+    main: tuple[int, int] | None = None
+
+
+class Pages:
+    """Different pages of a host as one array of tokens."""
+
+    def __init__(self, pages: list[np.ndarray]):
+        self.n = len(pages)
+        self.flat = np.concatenate(pages or [np.zeros(0, np.int64)])
+        self.ends = np.cumsum([len(p) for p in pages], dtype=np.int64)
+        self.of = np.repeat(np.arange(self.n), [len(p) for p in pages])
+
+    def classes(self) -> list[np.ndarray]:
+        """Tokens grouped by equal occurrence vectors, of those in enough pages: most frequent first, then largest."""
+        pairs, count = np.unique(self.flat * self.n + self.of, return_counts=True)
+        token, page = np.divmod(pairs, self.n)
+        support = np.bincount(token)
+        often = np.flatnonzero(support >= max(MIN_PAGES, SUPPORT * self.n))
+        if not len(often):
+            return []
+        row = np.full(len(support), -1)
+        row[often] = np.arange(len(often))
+        vectors = np.zeros((len(often), self.n), np.int64)
+        hit = row[token] >= 0
+        vectors[row[token[hit]], page[hit]] = count[hit]
+        of = np.unique(vectors, axis=0, return_inverse=True)[1].ravel()
+        classes = [often[of == c] for c in range(of.max() + 1)]
+        return sorted((c for c in classes if len(c) >= LEAST), key=lambda c: (-support[c[0]], -len(c), c[0]))
+
+    def first(self, positions: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """How many of positions are before each of the pages in of."""
+        return np.searchsorted(positions, np.concatenate([[0], self.ends])[of])
+
+    def in_one_gap(self, inner: np.ndarray, cycle: int, outer: np.ndarray, size: int) -> bool:
+        """Whether each cycle of inner's tokens lies between the same two tokens of outer (size a cycle) in every page."""
+        of = self.of[inner]
+        k, whole = np.searchsorted(outer, inner) - self.first(outer, of), self.first(outer, of + 1) - self.first(outer, of)
+        if (k.reshape(-1, cycle) != k[::cycle, None]).any():
+            return False
+        gap = np.where(k == 0, -1, np.where(k == whole, -2, k % size))
+        return len(np.unique(gap[whole > 0])) <= 1
+
+    def nested(self) -> list[tuple[list[int], np.ndarray]]:
+        """The kept classes: tokens in order, and where they are."""
+        kept: list[tuple[list[int], np.ndarray]] = []
+        for tokens in self.classes():
+            at = np.flatnonzero(np.isin(self.flat, tokens))
+            order = self.flat[at[: len(tokens)]]  # equal vectors, so every page has whole cycles if the order holds
+            if len(np.unique(order)) < len(order) or (self.flat[at].reshape(-1, len(order)) != order).any():
+                continue
+            if all(self.in_one_gap(at, len(order), other, len(o)) or self.in_one_gap(other, len(o), at, len(order)) for o, other in kept):
+                kept.append((order.tolist(), at))
+        return kept
+
+    def fixed_slots(self, order: list[int], at: np.ndarray) -> list[bool]:
+        """Of the slot after each token of a class: whether all pages have the same in it."""
+        out, n = [], len(order)
+        for k in range(n):
+            a = at[k::n]
+            b = at[k + 1 :: n][: len(a)]
+            a = a[: len(b)]
+            same = self.of[a] == self.of[b]
+            a, size = a[same], (b - a)[same]
+            fixed = len(a) > 0 and (size == size[0]).all()
+            if fixed:
+                inner = self.flat[a[:, None] + np.arange(1, size[0])]
+                fixed = (inner == inner[0]).all()
+            out.append(bool(fixed))
+        return out
+
+
+def deduce(pages: list[np.ndarray], tokens: Tokens) -> Template:
+    """The template of different pages of a host."""
+    out = Template()
+    if len(pages) < MIN_PAGES:
+        return out
+    all_ = Pages(pages)
+    for order, at in all_.nested():
+        out.at |= {t: (len(out.classes), k) for k, t in enumerate(order)}
+        out.classes.append(order)
+        out.fixed.append(all_.fixed_slots(order, at))
+    out.main = _main_element(all_, tokens, out)
+    return out
 
 
-def tokens(page: str) -> list[tuple[int, bool]]:
-    """Key of each token, and whether it is text."""
-    return [(_key(p, kind, text), kind == "text") for p, kind, _, _, _, raw in parse(page) if (text := _clean(raw)) or kind != "text"]
+def _main_element(pages: Pages, tokens: Tokens, template: Template) -> tuple[int, int] | None:
+    """The container to which most words of the slots lead, as its open and close token."""
+    places = tokens.places
+    path = np.array([p for _, p in tokens.each], np.int64)
+    text = np.array([k == "text" for k, _ in tokens.each], bool)
+    slot = text & ~np.array(places.boilerplate, bool)[path]
+    slot[list(template.at)] = False
+    marks = np.stack([slot, slot & np.array(places.heading, bool)[path], text & np.array(places.article, bool)[path]], 1)
+    sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(marks[pages.flat], 0, dtype=np.int64)])  # slots' words, those in headings, words in articles
+    pairs = {tokens.each[t]: t for t in template.at if tokens.each[t][0] != "text"}
+    inside = []
+    for (kind, p), start in pairs.items():
+        end = pairs.get(("close", p))
+        if kind != "open" or end is None or places.boilerplate[p] or places.names[p] not in CONTAINERS:
+            continue
+        a, b = np.flatnonzero(pages.flat == start), np.flatnonzero(pages.flat == end)
+        if len(np.unique(pages.of[a])) == len(a):  # once a page
+            span = np.full((pages.n, 2), -1)
+            span[pages.of[a]] = np.stack([a, b], 1)
+            inside.append((start, end, span))
+    found, span = None, np.stack([np.concatenate([[-1], pages.ends[:-1] - 1]), pages.ends], 1)
+    while True:
+        choice = None
+        for start, end, inner in inside:
+            has = inner[:, 0] >= 0
+            if ((inner[has, 0] > span[has, 0]) & (inner[has, 1] < span[has, 1])).all():
+                words = (sums[inner[has, 1]] - sums[inner[has, 0]]).sum(0)
+                whole = (sums[span[has, 1]] - sums[span[has, 0] + 1]).sum(0)
+                if words[0] and words[0] >= MOST * whole[0] and words[1] == whole[1] and words[2] == whole[2]:
+                    rank = (words[0], (inner[has, 1] - inner[has, 0]).sum())
+                    if choice is None or rank > choice[0]:
+                        choice = rank, (start, end), inner
+        if choice is None:
+            return found
+        _, found, span = choice
+
+
+def _template_blocks(page: Page, template: Template) -> set[tuple[int, int]]:
+    """Blocks all of whose words are template words that follow one another, with a fixed slot on one side."""
+    words: dict[tuple[int, int], list[int]] = {}
+    for e, first, end in page.texts:
+        words.setdefault(e.block, []).extend(page.tokens[first:end].tolist())
+    out = set()
+    for block, of in words.items():
+        places = [template.at.get(t) for t in of]
+        if not places or None in places or len({c for c, _ in places}) != 1:
+            continue
+        c, ks = places[0][0], [k for _, k in places]
+        fixed = template.fixed[c]
+        if all(a < b for a, b in zip(ks, ks[1:])) and all(fixed[ks[0] : ks[-1]]) and (fixed[ks[-1]] or fixed[ks[0] - 1]):
+            out.add(block)
+    return out
 
 
-def main_text(page: str, template: frozenset[int]) -> str:
-    found = parse(page)
-    slots = [t for t in found if t[1] == "text" and not t[2] and not (template and not t[3] and _key(t[0], "text", _clean(t[5])) in template)]
-    if any(t[3] for t in slots):
-        slots = [t for t in slots if t[3]]
+def main_text(page: Page, template: Template) -> str:
+    texts = page.texts
+    if template.main:
+        start, end = (np.flatnonzero(page.tokens == t) for t in template.main)
+        if len(start) == 1 and len(end) == 1:
+            texts = [t for t in texts if start[0] < t[1] <= end[0]]
+    texts = [t for t in texts if not t[0].boilerplate]
+    if any(e.article for e, first, end in texts if end > first):
+        texts = [t for t in texts if t[0].article]
+    elif template.at:
+        gone = _template_blocks(page, template)
+        texts = [t for t in texts if t[0].block not in gone]
     blocks: list[list] = []
-    for _, _, _, _, block, raw in slots:
-        if blocks and blocks[-1][0] == block:
-            blocks[-1][1].append(raw)
+    for e, _, _ in texts:
+        if blocks and blocks[-1][0] == e.block:
+            blocks[-1][1].append(e.text)
         else:
-            blocks.append([block, [raw]])
+            blocks.append([e.block, [e.text]])
     return "\n".join(t for _, raws in blocks if (t := _clean("".join(raws))))
 
 
-def _sequence(keys: list[int]) -> int:
-    return xxhash.xxh64_intdigest(np.array(keys, np.int64).tobytes()) - (1 << 63)
-
-
-_TOKENS = T.StructType([T.StructField("page", T.LongType()), T.StructField("t", T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("text", T.BooleanType())])))])
-_arrow_tokens = pa.struct([("page", pa.int64()), ("t", pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32()), ("first", pa.int32()), ("text", pa.bool_())])))])
-
-
-@F.arrow_udf(_TOKENS)
-def _counted(pages: pa.Array) -> pa.Array:
-    """A hash of each page's sequence of tokens, and the distinct ones."""
-    out = []
-    for page in pages:
-        seen: dict[int, dict] = {}
-        found = tokens(page.as_py() or "")
-        for at, (key, text) in enumerate(found):
-            seen.setdefault(key, {"token": key, "n": 0, "first": at, "text": text})["n"] += 1
-        out.append({"page": _sequence([key for key, _ in found]), "t": list(seen.values())})
-    return pa.array(out, _arrow_tokens)
-
-
-_CLASSES = T.ArrayType(T.StructType([T.StructField("c", T.LongType()), T.StructField("order", T.LongType()), T.StructField("nested", T.BooleanType())]))
-_arrow_classes = pa.list_(pa.struct([("c", pa.int64()), ("order", pa.int64()), ("nested", pa.bool_())]))
-
-
-@F.arrow_udf(_CLASSES)
-def _arranged(pages: pa.Array) -> pa.Array:
-    """For each class of a page (tokens given in order as c, token): its order, and whether no other class crosses it."""
-    out = []
-    for page in pages.to_pylist():
-        order: dict[int, list[int]] = {}
-        last = {t["c"]: k for k, t in enumerate(page)}
-        open_, crossed = [], set()
-        for k, t in enumerate(page):
-            c = t["c"]
-            if c not in order:
-                open_.append(c)
-            elif open_[-1] != c:  # the classes opened since then must be over
-                inner = open_[open_.index(c) + 1 :] if c in open_ else []
-                crossed.update(x for x in inner if last[x] > k)
-                open_ = [x for x in open_ if x not in inner or last[x] > k]
-            order.setdefault(c, []).append(t["token"])
-            while open_ and last[open_[-1]] <= k:
-                open_.pop()
-        out.append([{"c": c, "order": _sequence(o), "nested": c not in crossed} for c, o in order.items()])
-    return pa.array(out, _arrow_classes)
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """host and token of the texts in each host's template. pages: host, html."""
-    scratch = Scratch(pages.sparkSession)
-    seen = pages.filter("host is not null").select("host", _counted(pages["html"]).alias("x")).select("host", "x.page", "x.t")
-    seen = scratch.cut(seen.dropDuplicates(["host", "page"]))  # a repeated page adds no support
-    hosts = seen.groupBy("host").agg(F.count("*").alias("of")).filter(F.col("of") >= MIN_PAGES)
-    each = seen.select("host", "page", F.explode("t").alias("t")).select("host", "page", "t.*")
-    vectors = each.groupBy("host", "token", "text").agg(F.bit_xor(F.xxhash64("page", "n")).alias("v"), F.count("*").alias("pages"), F.sum("n").alias("total"))
-    frequent = vectors.filter(F.col("pages") >= MIN_PAGES).join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("of"))
-    classes = scratch.cut(frequent.select("host", "token", "text", F.xxhash64("host", "v", "pages", "total").alias("c")))
-    texts = classes.filter("text")
-    if texts.isEmpty():
-        return texts.select("host", "token")
-    held = classes.join(texts.select("host").distinct(), "host", "left_semi")
-    placed = each.select("host", "page", "token", "first").join(held, ["host", "token"]).groupBy("host", "page")
-    arranged = placed.agg(F.array_sort(F.collect_list(F.struct("first", "c", "token"))).alias("t"))  # as many as the template has tokens
-    arranged = arranged.select("host", F.explode(_arranged(arranged["t"])).alias("x")).select("host", "x.*")
-    valid = arranged.groupBy("host", "c").agg(F.min("order").alias("a"), F.max("order").alias("b"), F.bool_and("nested").alias("nested")).filter("a = b and nested")
-    return scratch.cut(texts.join(valid, ["host", "c"], "left_semi").select("host", "token"))
+def texts_of(htmls: list[str], same_host: bool) -> list[str]:
+    """Main texts of a group of pages."""
+    tokens = Tokens()
+    pages = [tokens.page(h) for h in htmls]
+    different = {p.tokens.tobytes(): p.tokens for p in pages}  # a repeated page adds no support
+    template = deduce(list(different.values()), tokens) if same_host else Template()
+    return [main_text(p, template) for p in pages]
+
+
+def _group_texts(group: pa.Table) -> pa.Table:
+    texts = texts_of([h or "" for h in group["html"].to_pylist()], bool(group["host"][0].is_valid))
+    return group.select(["page_id", "url"]).append_column("text", pa.array(texts, pa.string()))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row."""
+    spark = pages.sparkSession
+    small_batches(spark)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.when(host != "", host).alias("host"))
-    found = templates(pages.select("host", "html"))
-    few = found.limit(BROADCAST + 1).count() <= BROADCAST
-    found = found.groupBy("host").agg(F.collect_set("token").alias("template"))  # bounded by a page's tokens
-    pages = pages.join(F.broadcast(found) if few else found, "host", "left")
-
-    @F.arrow_udf(T.StringType())
-    def run(htmls: pa.Array, held: pa.Array) -> pa.Array:
-        return pa.array([main_text(h.as_py() or "", frozenset(t.as_py() or ())) for h, t in zip(htmls, held)], pa.string())
-
-    return pages.select("page_id", "url", run(pages["html"], pages["template"]).alias("text"))
+    pages = pages.select("page_id", "url", "html", F.when(host != "", host).alias("host"))
+    scratch = Scratch(spark)
+    sizes = pages.groupBy("host").agg(F.greatest(F.expr(f"count(*) div {GROUP}"), F.expr(f"sum(coalesce(octet_length(html), 0)) div {GROUP_BYTES}")).alias("more"))
+    large = scratch.cut(sizes.filter("more > 0").select(F.col("host").alias("large_host"), "more"))
+    few = large.limit(BROADCAST + 1).count() <= BROADCAST
+    # pages of a host are dealt by what they are, so that the same pages meet however the table is split
+    what = F.when(F.col("host").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("page_id", "url", F.coalesce("html", F.lit(""))))
+    dealt = F.pmod(what, F.coalesce("more", F.lit(0)) + 1)
+    placed = pages.join(F.broadcast(large) if few else large, F.col("host").eqNullSafe(F.col("large_host")), "left")
+    placed = placed.select("page_id", "url", "html", "host", dealt.alias("deal"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select("page_id", "url").schema) + ", text string"
+    return placed.groupBy("host", "deal").applyInArrow(_group_texts, schema)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

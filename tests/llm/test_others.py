@@ -57,7 +57,7 @@ PAGE = (
 
 @pytest.mark.parametrize("tag", ["article", "main", "div"])
 def test_main_text(tag):
-    assert html.main_text(PAGE.replace("{tag}", tag), frozenset()) == "T éx\nA b c\nD ef\nG"
+    assert html.texts_of([PAGE.replace("{tag}", tag)], False)[0] == "T éx\nA b c\nD ef\nG"
 
 
 def test_template_text_goes(spark):
