@@ -1,16 +1,18 @@
 """Chat formatting of reply trees.
 
-A tree is a table of messages with their parents. Paths from leaves to roots come from self-joins that double their
-reach: jump k links a message to its ancestor 2^k replies up, and a leaf's path of 2^k messages joined with jump k is one
-of 2^(k+1). A path of L messages takes log2(L) rounds, each a written table, and the rows are those of the paths
-themselves. Each leaf is a branch; branches of a tree are ranked by score, and each chosen path is formatted as one
-conversation.
+A tree is a table of messages with their parents. Every row gets a key of its own, and parents become keys. Jump k links a
+message to its ancestor 2^k replies up; jump k + 1 is a self-join of jump k. A leaf's path of 2^k messages joined with jump k
+is one of 2^(k+1), so a path of L messages takes log2(L) joins. These tables hold keys and places, no text. Each leaf is a
+branch; branches of a tree are ranked by score, and only the chosen ones meet the text, once, and become a conversation each.
 
 A turn is `<|im_start|>role\\ntext<|im_end|>\\n`. In texts and roles a backslash goes between `<` and `|` of every `<|`
-(and one more where there are some), so no text holds a mark and the change can be undone. read_back() parses the output.
+(and one more where there are some), so no text holds a mark and the change can be undone. read_back() parses the output,
+loss_mask() gives the spans of assistants' texts in it, and under_mask() what stands in such spans, unescaped.
 
-Defined results: null texts and roles are empty; a message whose parent is missing is a root; equal turns of a
-conversation follow in order of role and text; repeated rows are messages of their own; other columns are ignored.
+Defined results: null texts and roles are empty; a message whose parent is missing is a root; of a cycle of parents (also
+of one message that answers itself) the message with the smallest id is a root (of equal ids the first); a message without id
+has no replies; rows that repeat an id are messages of their own, and replies go to the first of them by parent, role and text;
+equal turns of a conversation follow in order of role and text; a null tree is a tree; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Turns of a conversation whose order one window decides.
@@ -62,21 +64,46 @@ def chained(turns: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").alias("tree"), place.alias("id"), F.when(place > 1, place - 1).alias("parent"), "role", "text")
 
 
-def paths(scratch: Scratch, messages: DataFrame) -> DataFrame:
-    """tree, leaf, id, depth (from 1 at the root) of every message on every root-to-leaf path. messages: tree, id, parent."""
-    known = messages.select("tree", F.col("id").alias("parent"))
-    jump = scratch.cut(messages.select("tree", "id", "parent").join(known, ["tree", "parent"]).select("tree", "id", F.col("parent").alias("up")))
-    leaves = messages.select("tree", "id").join(jump.select("tree", F.col("up").alias("id")), ["tree", "id"], "left_anti")
-    found, reach = scratch.cut(leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).alias("back"))), 1
-    while not jump.isEmpty():
-        further = found.join(jump, ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), (F.col("back") + reach).alias("back"))
-        longer = scratch.cut(found.unionByName(further))
-        upper = jump.select("tree", F.col("id").alias("up"), F.col("up").alias("top"))
-        next_jump = scratch.cut(jump.join(upper, ["tree", "up"]).select("tree", "id", F.col("top").alias("up")))
-        scratch.drop(found, jump)
-        found, jump, reach = longer, next_jump, 2 * reach
-    length = found.groupBy("tree", "leaf").agg(F.max("back").alias("far"))
-    return found.join(length, ["tree", "leaf"]).select("tree", "leaf", "id", (F.col("far") - F.col("back") + 1).alias("depth"))
+def keyed(scratch: Scratch, messages: DataFrame, score: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Written messages (key, part, score) and their links (tree, id, key, up), up being the parent's key or null."""
+    part = F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(END))
+    score = (F.lit(1.0) if score is None else score).cast("double")
+    rows = scratch.cut(messages.select(F.struct("tree").alias("tree"), "id", "parent", part.alias("part"), score.alias("score")).withColumn("key", F.monotonically_increasing_id()))
+    first = rows.filter("id is not null").groupBy("tree", F.col("id").alias("parent")).agg(F.min(F.struct(F.col("parent").alias("p"), F.xxhash64("part").alias("h"), "key")).alias("f"))
+    links = rows.select("tree", "id", "parent", "key").join(first, ["tree", "parent"], "left")
+    return rows.select("key", "part", "score"), scratch.cut(links.select("tree", "id", "key", F.col("f.key").alias("up")))
+
+
+def jumps(scratch: Scratch, links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Jumps (key, up) over 1, 2, 4, ... replies, and the links with one link of every cycle cut."""
+    size = links.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    low = F.struct("id", "key")  # smallest of the messages jumped to
+    found, reach = [scratch.cut(links.filter("up is not null").select("key", "up").join(links.select(F.col("key").alias("up"), low.alias("low")), "up"))], 1
+    while not found[-1].isEmpty():
+        if reach > size:  # longer than any path without a cycle; a message that is the smallest of those it leads to is cut off
+            cut = found[-1].filter(F.col("low.key") == F.col("key")).select("key", F.lit(True).alias("cut"))
+            links = scratch.cut(links.join(cut, "key", "left").select("tree", "id", "key", F.when(F.col("cut").isNull(), F.col("up")).alias("up")))
+            scratch.drop(*found)
+            return jumps(scratch, links)
+        last = found[-1]
+        upper = last.select(F.col("key").alias("up"), F.col("up").alias("top"), F.col("low").alias("beyond"))
+        found.append(scratch.cut(last.join(upper, "up").select("key", F.col("top").alias("up"), F.least("low", "beyond").alias("low"))))
+        reach *= 2
+    return [f.select("key", "up") for f in found[:-1]], links
+
+
+def paths(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """tree, leaf, key and back (0 at the leaf) of every message on every root-to-leaf path. links: tree, id, key, up."""
+    steps, links = jumps(scratch, links)
+    leaves = links.join(links.select(F.col("up").alias("key")), "key", "left_anti")
+    found = leaves.select("tree", F.struct("id", "key").alias("leaf"), "key", F.lit(0).alias("back"))
+    for k, step in enumerate(steps):
+        longer = scratch.cut(found.unionByName(found.join(step, "key").select("tree", "leaf", F.col("up").alias("key"), (F.col("back") + (1 << k)).alias("back"))))
+        if k:
+            scratch.drop(found)
+        found = longer
+    scratch.drop(*steps)
+    return found
 
 
 def conversations(messages: DataFrame, best: int | None = 1, score: Column | None = None) -> DataFrame:
@@ -86,14 +113,15 @@ def conversations(messages: DataFrame, best: int | None = 1, score: Column | Non
     the default counts messages, so the longest branch wins; ties go to the smaller leaf id.
     """
     scratch = Scratch(messages.sparkSession)
-    part = F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(END))
-    messages = scratch.cut(messages.select("tree", "id", "parent", part.alias("part"), (F.lit(1.0) if score is None else score).cast("double").alias("score")))
-    messages = messages.withColumn("tree", F.struct("tree"))  # so that a null tree joins like any
-    found = paths(scratch, messages).join(messages.select("tree", "id", "part", "score"), ["tree", "id"])
-    branch = found.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("depth", "part"))).alias("parts"), F.sum("score").alias("score"))
+    texts, links = keyed(scratch, messages, score)
+    found = paths(scratch, links)
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-    ranked = branch.select("tree", rank.alias("rank"), F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("formatted"))
-    return (ranked if best is None else ranked.filter(F.col("rank") <= best)).select("tree.tree", "rank", "formatted")
+    branch = found.join(texts.select("key", "score"), "key").groupBy("tree", "leaf").agg(F.sum("score").alias("score")).select("tree", "leaf", rank.alias("rank"))
+    if best is not None:
+        branch = branch.filter(F.col("rank") <= best)
+    met = found.join(branch.select("leaf", "rank"), "leaf").select("key", "tree", "rank", "back").join(texts.select("key", "part"), "key")
+    told = met.groupBy("tree", "rank").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("place"), "part"))).alias("parts"))
+    return told.select("tree.tree", "rank", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("formatted"))
 
 
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
@@ -118,18 +146,36 @@ def read_back(formatted: pa.Array) -> pa.Array:
     return pa.array([[dict(zip(keys, t)) for t in parse(f.as_py())] for f in formatted], _arrow_turns)
 
 
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_arrow_spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+@F.arrow_udf(SPANS)
+def loss_mask(formatted: pa.Array) -> pa.Array:
+    """The spans (code points, end exclusive) that a loss is taken on: assistants' texts."""
+    return pa.array([[{"start": a, "end": b} for role, _, a, b in parse(f.as_py()) if role == "assistant"] for f in formatted], _arrow_spans)
+
+
+@F.arrow_udf(T.StringType())
+def under_mask(formatted: pa.Array, spans: pa.Array) -> pa.Array:
+    """What formatted says in the spans, unescaped, nothing between."""
+    out = []
+    for text, mask in zip(formatted, spans):
+        text = text.as_py()
+        out.append("".join(unescape(text[m["start"] : m["end"]]) for m in mask.as_py()))
+    return pa.array(out, pa.string())
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], rows.schema)
-    found = conversations(chained(rows.unionByName(more)))
-    found = found.select(F.col("tree").alias("conv_id"), F.length("formatted").cast("long").alias("formatted_chars"), read_back(found["formatted"]).alias("turns"))
+    found = conversations(chained(rows.unionByName(more))).select(F.col("tree").alias("conv_id"), "formatted")
+    found = found.select("conv_id", "formatted", read_back(found["formatted"]).alias("turns"), loss_mask(found["formatted"]).alias("mask"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return found.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
-    )
+    found = found.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), under_mask(found["formatted"], found["mask"]).alias("loss"))
+    return found.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
 OP8_SQL = r"""
