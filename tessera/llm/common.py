@@ -51,10 +51,11 @@ class Scratch:
         self.made = 0
         Scratch._kept.append(self)
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, row_group: int | None = None) -> DataFrame:
+        """df written and read again; row_group bounds the bytes of Parquet row groups where rows are large."""
         path = f"{self.base}/{self.made}"
         self.made += 1
-        df.write.parquet(path)
+        (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def numbered(self, df: DataFrame) -> tuple[DataFrame, str]:
