@@ -3,14 +3,16 @@
 Documents are taken in blocks of some megabytes. A block is written as its distinct words, dealt by hash into buckets,
 and its documents as numbers of those words in order. Bucket by bucket all blocks' words meet, each distinct word is
 encoded once, and the ids go back to the blocks, where they are joined to the documents by word position. What is
-shuffled is compressed blocks, never a row for each word of the corpus. A bucket holds the vocabulary divided by the
-number of shuffle partitions; a block is bounded by BLOCK or one document.
+shuffled is compressed blocks, never a row for each word of the corpus. There is a bucket for each SHARE bytes of text, so
+a bucket's share of the vocabulary is bounded at any size, as the vocabulary grows no faster than the text; a block is
+bounded by BLOCK or one document.
 
 Decoding joins ids with the id-to-piece table (one row for each id of the vocabulary, so its size is fixed): in
 round_trip() for each distinct word of a block, in decode() for a table of ids.
 
-The two passes that split a block must see the same rows; a digest of the block's documents names it, so a block that
-came out differently finds no partner and the job fails instead of mixing words.
+The two passes that split a block must see the same rows. A table that comes from a shuffle is written first, as its rows
+may come in another order when an executor is lost; a digest of the block's documents names it, so a block that came out
+differently finds no partner and the job fails instead of mixing words.
 
 Defined results: null and empty texts have no tokens and decode to an empty text; repeated rows are encoded alike;
 other columns pass through nothing and clash with nothing; the special token's string in a text is that token, as in
@@ -33,10 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import small_batches, table
+from .common import Scratch, small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 BLOCK = 10 << 20
+#: Bytes of text for each bucket of words, and for each task that puts blocks together.
+SHARE = 64 << 20
 #: Bytes of documents returned to Spark at once.
 BATCH = 4 << 20
 
@@ -164,9 +168,11 @@ def _encode(path: str):
     """The ids of each block's words; a task encodes each of its distinct words once."""
 
     def run(batches):
-        t, known = load(path), {}
+        t, known, bucket = load(path), {}, None
         for batch in batches:
             for block, part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if part != bucket:  # no word of another bucket comes again
+                    known, bucket = {}, part
                 words = _unpack_words(payload.as_py())
                 new = [w for w in words if w not in known]
                 for at in range(0, len(new), 20_000):
@@ -233,13 +239,17 @@ def _assemble(path: str):
 
 def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, ids (array<int>) and decoded (text) of every row."""
-    small_batches(docs.sparkSession)
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = Scratch(spark).cut(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // SHARE)
     words = docs.mapInArrow(_split(path, buckets, False), _BLOCK).select("block", "part", "payload")
-    ids = words.repartition("part").mapInArrow(_encode(path), _BLOCK)
+    ids = words.repartitionById(buckets, "part").mapInArrow(_encode(path), _BLOCK)
     bodies = docs.mapInArrow(_split(path, buckets, True), _BLOCK)
-    meet = bodies.unionByName(ids).repartition("block").sortWithinPartitions("block", "part")
+    meet = bodies.unionByName(ids).repartition(buckets, "block").sortWithinPartitions("block", "part")
     return meet.mapInArrow(_assemble(path), "doc_id long, ids array<int>, decoded string")
 
 

@@ -29,11 +29,13 @@ def shift(labels: DataFrame, label: str, train: Column, per_class: int = ROWS_PE
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int = ROWS_PER_CLASS) -> DataFrame:
-    """text and label of at most per_class rows of each class, those of smallest hashed doc_id; train picks the rows allowed.
+    """doc_id, text and label of at most per_class rows of each class, those of smallest hashed doc_id; train picks the rows allowed.
 
-    A doc_id with several labels counts as 1 if any is 1. The sample's ids are at most 2 * per_class longs, so the
-    broadcast below has a fixed bound, and no text is shuffled.
+    A doc_id with several labels counts as 1 if any is 1, and one with several texts gives its smallest text, so the sample
+    has a row for each doc_id. Its ids are at most 2 * per_class longs, so the broadcast below has a fixed bound, and at
+    most that many texts of each task are shuffled.
     """
     rows = allowed(labels, label, train)
     some = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("text", "label")
+    met = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))

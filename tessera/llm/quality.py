@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -
     scratch = Scratch(docs.sparkSession)
     which = labels, "quality", remainder(F.col("doc_id"), 3) != 1, per_class
     rows = sample(docs, *which)
-    rows = scratch.cut(rows.select(statistics(rows["text"]).alias("stats"), "label").orderBy("label", "stats"))  # ordered, so that fits repeat
+    rows = scratch.cut(rows.select("doc_id", statistics(rows["text"]).alias("stats"), "label").orderBy("doc_id"))  # ordered, so that fits repeat
     model = fit(rows, shift(*which))
     scratch.drop(rows)
     return model

@@ -2,7 +2,8 @@
 
 Terms are lower-cased words and their leading 3 to 8 bytes, hashed to 2^20 buckets. Over the labelled sample Spark
 counts in how many texts of each class a bucket occurs; the most telling buckets (signed chi-square) become the
-machine's inputs. score = sigmoid(bias + sum of weights of the buckets present + sum over pairs of <v_i, v_j>), so two
+machine's inputs. Inputs are the buckets that occur more often in texts of label 1 and in three of them at least: what speaks
+for the other label is its absence. score = sigmoid(bias + sum of weights of the buckets present + sum over pairs of <v_i, v_j>), so two
 terms together (an insult and a group mention) can weigh more or less than their sum. Each bucket counts once a text
 however long the text is, and the whole text is read.
 
@@ -79,7 +80,7 @@ def _counts(batches):
 
 
 def fit(rows: DataFrame, prior: float = 0.0) -> Machine:
-    """rows: text and label (0 or 1), at most 2 * ROWS_PER_CLASS of them; prior is added to the log-odds if both classes occur."""
+    """rows: doc_id, text and label (0 or 1), at most 2 * ROWS_PER_CLASS of them with a doc_id each; prior is added to the log-odds if both classes occur."""
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     none = Machine(np.zeros(0, np.int64), float(np.log((n1 + 0.5) / (n0 + 0.5))), np.zeros(0), np.zeros((0, FACTORS)))
@@ -98,9 +99,10 @@ def fit(rows: DataFrame, prior: float = 0.0) -> Machine:
                 row, inputs = model.present(at, buckets)
                 cut = np.searchsorted(row, np.arange(k + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(inputs.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(first, k), lists], ["label", "inputs"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, k), batch.column("label").slice(first, k), lists], ["doc_id", "label", "inputs"])
 
-    matrix = rows.mapInArrow(present, "label int, inputs array<int>").orderBy("label", "inputs").toArrow()  # bounded; ordered, so that fits repeat
+    what = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, inputs array<int>"
+    matrix = rows.mapInArrow(present, what).toArrow().sort_by("doc_id")  # bounded; ordered, so that fits repeat
     lists = matrix.column("inputs").combine_chunks()
     model = _train(model, matrix.column("label").to_numpy(), np.asarray(lists.flatten()), np.asarray(lists.value_lengths()))
     model.bias += prior
