@@ -2,6 +2,11 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
 the columns of documents; the last returns doc_id, n_tokens, ids_sha256 and decoded_sha256.
+
+Defined results: null texts are empty for every stage and stay null in the tables between; of rows with equal texts (null and
+empty ones too) one stays, that of the smallest doc_id; a document without doc_id is one like any other; without labels of both
+classes nothing is toxic unless all labels are; columns beside doc_id and text pass through, whatever their names, and are
+never inputs; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -45,6 +50,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.cut(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept = scratch.cut(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
