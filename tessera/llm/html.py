@@ -44,6 +44,8 @@ MIN_PAGES, SUPPORT, LEAST = 6, 0.6, 3
 #: Pages of a group, and bytes of html, about.
 GROUP, GROUP_BYTES = 256, 4 << 20
 BROADCAST = 200_000
+#: Bytes of html for each task.
+SHARE = 32 << 20
 #: Least share of the slots' words that a container holds to be gone into.
 MOST = 0.5
 CONTAINERS = frozenset("article body div main section td".split())
@@ -283,8 +285,10 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     pages = pages.select("page_id", "url", "html", F.when(host != "", host).alias("host"))
     scratch = Scratch(spark)
-    sizes = pages.groupBy("host").agg(F.greatest(F.expr(f"count(*) div {GROUP}"), F.expr(f"sum(coalesce(octet_length(html), 0)) div {GROUP_BYTES}")).alias("more"))
-    large = scratch.cut(sizes.filter("more > 0").select(F.col("host").alias("large_host"), "more"))
+    bytes_ = F.sum(F.coalesce(F.octet_length("html"), F.lit(0)))
+    sizes = scratch.cut(pages.groupBy("host").agg(F.count("*").alias("n"), bytes_.alias("bytes")))
+    large = sizes.select(F.col("host").alias("large_host"), F.greatest(F.expr(f"n div {GROUP}"), F.expr(f"bytes div {GROUP_BYTES}")).alias("more")).filter("more > 0")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (sizes.agg(F.sum("bytes")).first()[0] or 0) // SHARE)
     few = large.limit(BROADCAST + 1).count() <= BROADCAST
     # pages of a host are dealt by what they are, so that the same pages meet however the table is split
     what = F.when(F.col("host").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("page_id", "url", F.coalesce("html", F.lit(""))))
@@ -292,7 +296,7 @@ def extract(pages: DataFrame) -> DataFrame:
     placed = pages.join(F.broadcast(large) if few else large, F.col("host").eqNullSafe(F.col("large_host")), "left")
     placed = placed.select("page_id", "url", "html", "host", dealt.alias("deal"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select("page_id", "url").schema) + ", text string"
-    return placed.groupBy("host", "deal").applyInArrow(_group_texts, schema)
+    return placed.repartition(tasks, "host", "deal").groupBy("host", "deal").applyInArrow(_group_texts, schema)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
