@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,9 +55,60 @@ def draws(spark: SparkSession, n: int, bound: int, seed: int = 20260910) -> Data
     return d.select("i", "d.draw", "d.uniform").filter("draw is not null")
 
 
-def clustered(uniform: DataFrame, size: int, length: int, group: int = 32, span: int = 1 << 20) -> DataFrame:
-    """Requests i around anchors that change every `group` requests: the group's first draw is the anchor, the others fall
-    within span of it, cut to the input."""
-    head = uniform.filter(F.col("i") % group == 0).select(F.expr(f"i div {group}").alias("g"), (F.col("draw") % (size - span + 1)).alias("anchor"))
-    near = uniform.withColumn("g", F.expr(f"i div {group}")).join(head, "g")
-    return near.select("i", "anchor", (F.col("anchor") + F.col("draw") % (span - length + 1)).alias("byte_offset"))
+def _drawn(counter: str, bound: int, seed: int) -> Column:
+    """The draw of a counter that must not be refused: a refusal would shift all draws after it."""
+    draw = _mixed(seed, bound)(F.expr(counter))["draw"]
+    return F.coalesce(draw, F.raise_error(F.lit("a draw was refused; take another seed")).cast("long"))
+
+
+# Requests of a profile, request length, distance of a cluster's requests, requests of a cluster, hot blocks
+REQUESTS, LENGTH, SPAN, CLUSTER, HOT = 5000, 16384, 1 << 20, 32, 64
+
+
+def clustered(spark: SparkSession, size: int, n: int = REQUESTS, seed: int = 20260912) -> DataFrame:
+    """i, anchor and byte_offset: each CLUSTER requests fall within SPAN after an anchor of their own.
+
+    One stream: a cluster's anchor is drawn first, then an offset for each of its requests, so request i takes draw
+    i + i div 32 + 1 and its anchor draw 33 (i div 32).
+    """
+    end = size - LENGTH
+    if end < SPAN:
+        raise ValueError("the input is too small for clusters")
+    rows = spark.range(n).withColumnRenamed("id", "i")
+    rows = rows.withColumn("anchor", _drawn(f"{CLUSTER + 1} * (i div {CLUSTER})", end - SPAN + 1, seed))
+    return rows.select("i", "anchor", (F.col("anchor") + _drawn(f"i + i div {CLUSTER} + 1", SPAN, seed)).alias("byte_offset"))
+
+
+def hot_set(spark: SparkSession, size: int, n: int = REQUESTS, seed: int = 20260911) -> DataFrame:
+    """i, block and byte_offset: requests into HOT blocks, the first distinct ones drawn. One stream goes on for the
+    requests, two draws each: which hot block, and where in it."""
+    end = size - LENGTH
+    blocks, some = end // LENGTH + 1, 64 * HOT
+    if blocks < 16 * HOT:
+        raise ValueError("the input is too small for hot blocks")
+    first = draws(spark, some, blocks, seed).groupBy("draw").agg(F.min("i").alias("at")).orderBy("at").limit(HOT)
+    chosen = [(r["draw"], r["at"]) for r in first.collect()]  # HOT rows
+    used = chosen[-1][1] + 1
+    hot = spark.createDataFrame([(k, b) for k, (b, _) in enumerate(chosen)], "k long, block long")
+    rows = spark.range(n).withColumnRenamed("id", "i").withColumn("k", _drawn(f"{used} + 2 * i", HOT, seed))
+    rows = rows.join(F.broadcast(hot), "k")
+    whole, last = _drawn(f"{used} + 2 * i + 1", LENGTH, seed), _drawn(f"{used} + 2 * i + 1", end % LENGTH + 1, seed)
+    return rows.select("i", "block", (F.col("block") * LENGTH + F.when(F.col("block") == blocks - 1, last).otherwise(whole)).alias("byte_offset"))
+
+
+def scaled(digest: Column, n: Column) -> Column:
+    """The first 8 bytes of a hex digest as a share of 2^64 of n (less than 10^12), in exact integers."""
+    first = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
+    product, word = first * n.cast("decimal(12,0)"), F.lit(str(WORD)).cast("decimal(20,0)")
+    return ((product - product % word) / word).cast("long")
+
+
+# The text whose digest plans a case, and how many there are
+CASE, CASES = "axis5:20261003:", 100
+
+
+def one_bit_plan(archives: DataFrame, length: str) -> DataFrame:
+    """archives with case_id, byte_at and bit of CASES corruptions: the same place and bit of each case at any length."""
+    cases = archives.withColumn("case_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CASES - 1).cast("long"))))
+    digest = F.sha2(F.concat(F.lit(CASE), F.col("case_id").cast("string")), 256)
+    return cases.select("*", scaled(digest, F.col(length)).alias("byte_at"), (F.conv(F.substring(digest, 17, 2), 16, 10).cast("long") % 8).alias("bit"))

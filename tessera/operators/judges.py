@@ -44,16 +44,25 @@ def plateau(points: DataFrame, key: str, size: str, median: str, cv: str, last:
 
 
 def window_law(rows: DataFrame) -> DataFrame:
-    """Diagnosis of a measured window time, exact in decimals: t_B = probe + (W - 1) / D; FAIL beyond 20 %, or if c0 < 0.
+    """Diagnosis of a measured window time: role, error_percent, c0_ok, model_status and verdict.
 
-    rows: d_bps, w_bytes, q_bytes, measured_us, probe_us, all exact (decimal or long).
+    The law is t = c0 + (W + Q - 1) / D with c0 = probe - Q / D, so t = probe + (W - 1) / D. Windows of the verdict set
+    PASS within 20 percent (inclusive) if c0 is not negative, else FAIL; a window outside it has its role for a verdict. The
+    tests are exact in decimals; error_percent is signed, and null where the predicted time is not positive, which fails.
+    rows: d_bps, w_bytes, q_bytes, measured_us, probe_us, all exact (decimal or long) and positive, W at most 65536; others are refused.
     """
     d, e = "decimal(12,0)", "decimal(18,4)"
-    x = rows.withColumn("_d", F.col("d_bps").cast(d)).withColumn("_m", F.col("measured_us").cast(e)).withColumn("_p", F.col("probe_us").cast(e))
-    law = F.col("_p") * F.col("_d") + (F.col("w_bytes") - 1).cast("decimal(10,0)") * 1_000_000  # t_B * D, in byte-microseconds
-    off = F.abs(F.col("_m") * F.col("_d") - law) * 5
+    sound = (F.col("w_bytes") >= 1) & (F.col("w_bytes") <= 65536) & (F.least("d_bps", "q_bytes", "measured_us", "probe_us") > 0)
+    x = rows.withColumn("_d", F.when(F.coalesce(sound, F.lit(False)), F.col("d_bps").cast(d)).otherwise(F.raise_error(F.lit("window law: positive numbers and 1 <= W <= 65536 required")).cast(d)))
+    x = x.withColumn("_m", F.col("measured_us").cast(e)).withColumn("_p", F.col("probe_us").cast(e))
+    law = F.col("_p") * F.col("_d") + (F.col("w_bytes") - 1).cast("decimal(10,0)") * 1_000_000  # t * D, in byte-microseconds
+    off = F.col("_m") * F.col("_d") - law
     c0 = F.col("_p") * F.col("_d") >= F.col("q_bytes").cast("decimal(10,0)") * 1_000_000
-    return x.withColumn("within", off <= law).withColumn("c0_ok", c0).withColumn("verdict", F.when(off <= law, F.when(c0, "PASS").otherwise("FAIL")).otherwise("FAIL")).drop("_d", "_m", "_p")
+    within = (law > 0) & (F.abs(off) * 5 <= law)
+    error = F.when(law > 0, 100 * off.cast("double") / law.cast("double"))
+    is_role = role(F.col("w_bytes"))
+    verdict = F.when(is_role == "VERDICT", F.when(within & c0, "PASS").otherwise("FAIL")).otherwise(is_role)
+    return x.withColumn("role", is_role).withColumn("error_percent", error).withColumn("c0_ok", c0).withColumn("model_status", F.when(c0, "VALID").otherwise("FAIL")).withColumn("verdict", verdict).drop("_d", "_m", "_p")
 
 
 def role(w: Column) -> Column:
@@ -64,3 +73,16 @@ def suppressed(rows: DataFrame, key: str, passed: Column, metric: str) -> DataFr
     """The mean of metric by key; any failure makes the status FAILED and the metric null."""
     found = rows.groupBy(key).agg(F.bool_and(passed).alias("ok"), F.avg(metric).alias("m"), F.count("*").alias("n"))
     return found.select(key, "n", F.when(F.col("ok"), "PASS").otherwise("FAILED").alias("status"), F.when(F.col("ok"), F.col("m")).alias(metric))
+
+
+# What a quiet host is, and the reasons given
+LOAD, DISK, SAMPLE_S, HEAVY = 0.5, 20_000_000_000, 1, 10.0
+NOISE = ("wrong host", "load1 is not below 0.5", "insufficient available data-disk space", "CPU sample interval too short", "foreign heavy CPU process")
+
+
+def silence(host: str) -> tuple[Column, Column]:
+    """Status of a snapshot (host, load1, disk_available_bytes, sampling_seconds, processes) and why it FAILED, in order."""
+    heavy = F.exists("processes", lambda p: (p["cpu_percent"] >= HEAVY) & ~p["own_process"])
+    rules = (F.col("host") != host, ~(F.col("load1") < LOAD), ~(F.col("disk_available_bytes") > DISK), F.col("sampling_seconds") < SAMPLE_S, heavy)
+    reasons = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(True)), why) for rule, why in zip(rules, NOISE)]))
+    return F.when(F.size(reasons) > 0, "FAILED").otherwise("PASS"), reasons
