@@ -39,7 +39,7 @@ from tokenizers import Tokenizer
 from .common import Scratch, small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-BLOCK = 10 << 20
+BLOCK = 5 << 20
 #: Bytes of text for each task that puts blocks together.
 SHARE = 32 << 20
 #: Words whose ids a task holds at once.
