@@ -3,9 +3,9 @@
 Documents are taken in blocks of some megabytes. A block is written as its distinct words, dealt by hash into buckets,
 and its documents as numbers of those words in order. Bucket by bucket all blocks' words meet, each distinct word is
 encoded once, and the ids go back to the blocks, where they are joined to the documents by word position. What is
-shuffled is compressed blocks, never a row for each word of the corpus. Buckets grow as the root of the text's bytes, as
-a vocabulary about does, so that blocks do not fall to pieces; a task that has met KNOWN words of a bucket forgets them and
-encodes again what it meets after that. A block is bounded by BLOCK or one document.
+shuffled is compressed blocks, never a row for each word of the corpus. A bucket holds the vocabulary divided by the number
+of shuffle partitions; a task that has met KNOWN words forgets them and encodes again what it meets after that. A block is
+bounded by BLOCK or one document.
 
 Decoding joins ids with the id-to-piece table (one row for each id of the vocabulary, so its size is fixed): in
 round_trip() for each distinct word of a block, in decode() for a table of ids.
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 import zlib
 
 import numpy as np
@@ -40,10 +39,8 @@ from .common import Scratch, small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 BLOCK = 5 << 20
-#: Bytes of text for each task that puts blocks together.
-SHARE = 32 << 20
 #: Words whose ids a task holds at once.
-KNOWN = 2_000_000
+KNOWN = 500_000
 #: Bytes of documents returned to Spark at once.
 BATCH = 4 << 20
 
@@ -171,11 +168,11 @@ def _encode(path: str):
     """The ids of each block's words; a task encodes each of its distinct words once."""
 
     def run(batches):
-        t, known, bucket = load(path), {}, None
+        t, known = load(path), {}
         for batch in batches:
             for block, part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if part != bucket or len(known) > KNOWN:  # no word of another bucket comes again
-                    known, bucket = {}, part
+                if len(known) > KNOWN:
+                    known = {}
                 words = _unpack_words(payload.as_py())
                 new = [w for w in words if w not in known]
                 for at in range(0, len(new), 20_000):
@@ -247,13 +244,11 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = Scratch(spark).cut(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, tasks = max(least, 1 + math.isqrt(size >> 20)), max(least, 1 + size // SHARE)
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = docs.mapInArrow(_split(path, buckets, False), _BLOCK).select("block", "part", "payload")
-    ids = words.repartitionById(buckets, "part").mapInArrow(_encode(path), _BLOCK)
+    ids = words.repartition("part").mapInArrow(_encode(path), _BLOCK)
     bodies = docs.mapInArrow(_split(path, buckets, True), _BLOCK)
-    meet = bodies.unionByName(ids).repartition(tasks, "block").sortWithinPartitions("block", "part")
+    meet = bodies.unionByName(ids).repartition("block").sortWithinPartitions("block", "part")
     return meet.mapInArrow(_assemble(path), "doc_id long, ids array<int>, decoded string")
 
 

@@ -81,7 +81,6 @@ def test_fitted_classifier_on_odd_rows(spark, module):
 
 def test_bpe_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK", 300)
-    monkeypatch.setattr(bpe, "SHARE", 500)
     monkeypatch.setattr(bpe, "KNOWN", 20)
     t = bpe.load(bpe.VOCABULARY)
     rows = [(k, f"Block {k} of it's words <|endoftext|> {'again ' * (k % 7)}日 {k * k}") for k in range(90)] + [(5, None), (None, "x")]
