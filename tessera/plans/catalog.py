@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import generators, intervals, judges, metrics, pareto, quantile
-from . import evidence, views  # noqa: F401  evidence registers its queries
+from . import contracts, evidence, views  # noqa: F401  the first two register their queries
 from .registry import ORACLE_SQL, QUERIES, query, r9  # noqa: F401
 from .views import sql, table
 
@@ -161,6 +161,18 @@ def w05(spark, d):
     return pareto.best_per(points(spark, d), "codec", [F.desc("ratio"), F.col("p50"), F.col("g"), F.col("key")], F.col("p50") <= 200)
 
 
+@query("w05_fastest", sql("SELECT codec, g, ratio, p50, key FROM (SELECT *, row_number() OVER (PARTITION BY codec ORDER BY p50, ratio DESC, g, key) AS k FROM p WHERE ratio >= 4.9) WHERE k = 1", "archives", p=_PICK_KEY))
+def w05_fastest(spark, d):
+    """The other choice: the least p50 among points of a ratio."""
+    return pareto.best_per(points(spark, d), "codec", [F.col("p50"), F.desc("ratio"), F.col("g"), F.col("key")], F.col("ratio") >= 4.9).select("codec", "g", "ratio", "p50", "key")
+
+
+@query("f03_without_fast", sql("SELECT DISTINCT codec FROM p WHERE codec NOT IN (SELECT codec FROM p WHERE p50 <= 8)", "archives", p=_PICK_KEY))
+def f03_fast(spark, d):
+    p = points(spark, d)
+    return pareto.without_choice(p, p.filter("p50 <= 8"), "codec")
+
+
 @query("f03_without_choice", sql("SELECT DISTINCT codec FROM p WHERE codec NOT IN (SELECT codec FROM p WHERE ratio >= 4.97)", "archives", p=_PICK_KEY))
 def f03(spark, d):
     p = points(spark, d)
