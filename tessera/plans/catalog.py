@@ -167,10 +167,10 @@ def w05_fastest(spark, d):
     return pareto.best_per(points(spark, d), "codec", [F.col("p50"), F.desc("ratio"), F.col("g"), F.col("key")], F.col("ratio") >= 4.9).select("codec", "g", "ratio", "p50", "key")
 
 
-@query("f03_without_fast", sql("SELECT DISTINCT codec FROM p WHERE codec NOT IN (SELECT codec FROM p WHERE p50 <= 8)", "archives", p=_PICK_KEY))
+@query("f03_without_fast", sql("SELECT DISTINCT codec FROM p WHERE codec NOT IN (SELECT codec FROM p WHERE p50 <= 107)", "archives", p=_PICK_KEY))
 def f03_fast(spark, d):
     p = points(spark, d)
-    return pareto.without_choice(p, p.filter("p50 <= 8"), "codec")
+    return pareto.without_choice(p, p.filter("p50 <= 107"), "codec")
 
 
 @query("f03_without_choice", sql("SELECT DISTINCT codec FROM p WHERE codec NOT IN (SELECT codec FROM p WHERE ratio >= 4.97)", "archives", p=_PICK_KEY))
