@@ -1,17 +1,18 @@
 """Byte-pair encoding and decoding through a table of distinct words.
 
-Documents are taken in blocks of some megabytes. A block is written as its distinct words, dealt by hash into buckets,
-and its documents as numbers of those words in order. Bucket by bucket all blocks' words meet, each distinct word is
-encoded once, and the ids go back to the blocks, where they are joined to the documents by word position. What is
-shuffled is compressed blocks, never a row for each word of the corpus. A bucket holds the vocabulary divided by the number
-of shuffle partitions; a task that has met KNOWN words forgets them and encodes again what it meets after that. A block is
-bounded by BLOCK or one document.
+Documents are taken in blocks of some megabytes, each split once. A block becomes its distinct words, dealt by hash into
+buckets, and a body: its documents as numbers of those words in order of appearance, and the bucket of each word. Bucket by
+bucket all blocks' words meet, each distinct word is encoded once, and the ids go back to the blocks, where they are joined
+to the documents by word position. What is shuffled is compressed blocks, never a row for each word of the corpus; bodies
+pass through the first shuffle beside the words. A bucket holds the vocabulary divided by the number of shuffle partitions
+and is a task of its own; a task that has met KNOWN words forgets them and encodes again what it meets after that. A block
+is bounded by BLOCK or one document.
 
 Decoding joins ids with the id-to-piece table (one row for each id of the vocabulary, so its size is fixed): in
 round_trip() for each distinct word of a block, in decode() for a table of ids.
 
-The two passes that split a block must see the same rows. A table that comes from a shuffle is written first, as its rows
-may come in another order when an executor is lost; a digest of the block's documents names it, so a block that came out
+A task that runs again after an executor was lost must make the same blocks. A table that comes from a shuffle is written
+first, as its rows may come in another order then; a digest of the block's documents names it, so a block that came out
 differently finds no partner and the job fails instead of mixing words.
 
 Defined results: null and empty texts have no tokens and decode to an empty text; repeated rows are encoded alike;
@@ -21,6 +22,7 @@ the tokenizers library.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import zlib
@@ -51,6 +53,7 @@ class _Numbers(dict):
         return n
 
 
+@functools.cache
 def load(path: str) -> Tokenizer:
     t = Tokenizer.from_file(path)
     t.no_truncation()
@@ -58,6 +61,7 @@ def load(path: str) -> Tokenizer:
     return t
 
 
+@functools.cache
 def splitter(path: str):
     """text -> words, as the vocabulary file's special tokens and pre-tokenizer split it."""
     specials = [a["content"] for a in json.load(open(path, encoding="utf-8"))["added_tokens"]]
@@ -80,6 +84,7 @@ def splitter(path: str):
     return split
 
 
+@functools.cache
 def pieces(path: str) -> list[bytes]:
     """The bytes of each id."""
     spec = json.load(open(path, encoding="utf-8"))
@@ -114,34 +119,29 @@ def _unpack_words(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
 
 
-_BLOCK = "block string, part int, doc_ids array<long>, lengths binary, payload binary"
-_names = ["block", "part", "doc_ids", "lengths", "payload"]
+_BLOCK = "block string, part int, doc_ids array<long>, lengths binary, buckets binary, payload binary"
+_names = ["block", "part", "doc_ids", "lengths", "buckets", "payload"]
 
 
 def _rows(block: str, rows: list[tuple]) -> pa.RecordBatch:
-    part, ids, lengths, payload = zip(*rows)
-    arrays = [pa.array([block] * len(rows)), pa.array(part, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(lengths, pa.binary()), pa.array(payload, pa.binary())]
+    part, ids, lengths, buckets, payload = zip(*rows)
+    arrays = [pa.array([block] * len(rows)), pa.array(part, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(lengths, pa.binary()), pa.array(buckets, pa.binary()), pa.array(payload, pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, _names)
 
 
-def _split(path: str, buckets: int, bodies: bool):
-    """Blocks of documents: their bodies (part -1), or their distinct words by bucket."""
+def _split(path: str, buckets: int):
+    """Blocks of documents: for each its body (part -1), then its distinct words by bucket."""
 
     def finish(nth, ids, lengths, numbers, flat, digest):
         words = [w.encode() for w in numbers]
-        part = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-        order = np.argsort(part, kind="stable")  # within a bucket, by first appearance in the block
+        part = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
         block = f"{TaskContext.get().partitionId()}-{nth}-{digest.hexdigest()[:24]}"
-        if bodies:
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order))
-            body = np.concatenate([place[f] for f in flat]) if flat else np.zeros(0, np.uint32)
-            yield _rows(block, [(-1, ids, _pack(np.array(lengths, np.uint32)), _pack(body))])
-        else:
-            cuts = np.searchsorted(part[order], np.arange(buckets + 1))
-            for p in range(buckets):
-                if cuts[p] < cuts[p + 1]:
-                    yield _rows(block, [(p, None, None, _pack_words([words[i] for i in order[cuts[p] : cuts[p + 1]]]))])
+        yield _rows(block, [(-1, ids, _pack(np.array(lengths, np.uint32)), _pack(part), _pack(np.concatenate(flat)))])
+        order = np.argsort(part, kind="stable")  # within a bucket, by first appearance in the block
+        cuts = np.searchsorted(part[order], np.arange(buckets + 1))
+        for p in range(buckets):
+            if cuts[p] < cuts[p + 1]:
+                yield _rows(block, [(p, None, None, None, _pack_words([words[i] for i in order[cuts[p] : cuts[p + 1]]]))])
 
     def run(batches):
         split = splitter(path)
@@ -165,12 +165,15 @@ def _split(path: str, buckets: int, bodies: bool):
 
 
 def _encode(path: str):
-    """The ids of each block's words; a task encodes each of its distinct words once."""
+    """The ids of each block's words; a task encodes each of its distinct words once. Bodies pass through."""
 
     def run(batches):
         t, known = load(path), {}
         for batch in batches:
-            for block, part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for row, (block, part, payload) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(5))):
+                if part < 0:
+                    yield batch.slice(row, 1)
+                    continue
                 if len(known) > KNOWN:
                     known = {}
                 words = _unpack_words(payload.as_py())
@@ -181,7 +184,7 @@ def _encode(path: str):
                         known[w] = np.array(e.ids, np.uint32).tobytes()
                 found = list(map(known.__getitem__, words))
                 counts = np.fromiter(map(len, found), np.uint32, len(found)) // 4
-                yield _rows(block, [(part, None, _pack(counts), _pack(np.frombuffer(b"".join(found), "<u4")))])
+                yield _rows(block, [(part, None, _pack(counts), None, _pack(np.frombuffer(b"".join(found), "<u4")))])
 
     return run
 
@@ -195,12 +198,14 @@ def _assemble(path: str):
         end = np.cumsum(counts)
         pieces_of = list(map(piece.__getitem__, ids.tolist()))  # the id-to-piece join
         text_of = [pieces_of[a] if a + 1 == b else b"".join(pieces_of[a:b]) for a, b in zip((end - counts).tolist(), end.tolist())]
-        doc_ids, lengths, flat = body[0], _unpack(body[1]).astype(np.int64), _unpack(body[2])
-        if len(flat) and int(flat.max()) >= len(counts):
+        doc_ids, lengths, part, flat = body[0], _unpack(body[1]).astype(np.int64), _unpack(body[2]), _unpack(body[3])
+        if len(part) != len(counts):
             raise RuntimeError("a block's words and documents do not belong together")
+        place = np.empty(len(part), np.uint32)
+        place[np.argsort(part, kind="stable")] = np.arange(len(part))
         at, out, held = 0, [], 0
         for doc_id, n in zip(doc_ids, lengths.tolist()):
-            words = flat[at : at + n]
+            words = place[flat[at : at + n]]
             at += n
             size = counts[words]
             first = np.repeat(end[words] - np.cumsum(size), size)
@@ -220,13 +225,13 @@ def _assemble(path: str):
     def run(batches):
         piece, block, body, parts = pieces(path), None, None, []
         for batch in batches:
-            for name, part, ids, lengths, payload in zip(*(batch.column(k) for k in range(5))):
+            for name, part, ids, lengths, buckets, payload in zip(*(batch.column(k) for k in range(6))):
                 if name.as_py() != block:
                     if block is not None:
                         yield from map(to_batch, documents(body, parts, piece))
                     block, body, parts = name.as_py(), None, []
                 if part.as_py() < 0:
-                    body = (ids.as_py(), lengths.as_py(), payload.as_py())
+                    body = (ids.as_py(), lengths.as_py(), buckets.as_py(), payload.as_py())
                 else:
                     parts.append((lengths.as_py(), payload.as_py()))
                 if body is None:
@@ -245,10 +250,9 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = Scratch(spark).cut(docs)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = docs.mapInArrow(_split(path, buckets, False), _BLOCK).select("block", "part", "payload")
-    ids = words.repartition("part").mapInArrow(_encode(path), _BLOCK)
-    bodies = docs.mapInArrow(_split(path, buckets, True), _BLOCK)
-    meet = bodies.unionByName(ids).repartition("block").sortWithinPartitions("block", "part")
+    blocks = docs.mapInArrow(_split(path, buckets), _BLOCK)
+    dealt = blocks.repartitionById(buckets, F.when(F.col("part") < 0, F.pmod(F.hash("block"), F.lit(buckets))).otherwise(F.col("part")))
+    meet = dealt.mapInArrow(_encode(path), _BLOCK).repartition("block").sortWithinPartitions("block", "part")
     return meet.mapInArrow(_assemble(path), "doc_id long, ids array<int>, decoded string")
 
 
