@@ -107,16 +107,40 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _join(head: bytes, tail: bytes) -> bytes:
+    return len(head).to_bytes(4, "little") + head + tail
+
+
+def _parts(data: bytes) -> tuple[bytes, bytes]:
+    end = 4 + int.from_bytes(data[:4], "little")
+    return data[4:end], data[end:]
+
+
 def _pack_words(words: list[bytes]) -> bytes:
-    lengths = np.fromiter(map(len, words), "<u4", len(words)).tobytes()
-    return zstandard.compress(len(words).to_bytes(4, "little") + lengths + b"".join(words), 3)
+    return _join(_pack(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.compress(b"".join(words), 9))
 
 
 def _unpack_words(data: bytes) -> list[bytes]:
-    raw = zstandard.decompress(data)
-    n = int.from_bytes(raw[:4], "little")
-    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)).tolist()
-    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
+    lengths, raw = _parts(data)
+    raw, ends = zstandard.decompress(raw), np.cumsum(_unpack(lengths), dtype=np.int64).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _pack_body(numbers: np.ndarray) -> bytes:
+    """Numbers given in order of first appearance: 0 for a new one, a byte for a low one, else 255 and the number apart."""
+    new = np.diff(np.maximum.accumulate(numbers.astype(np.int64)), prepend=-1) > 0
+    short = np.where(new, 0, np.minimum(numbers, 254) + 1).astype(np.uint8)
+    return _join(zstandard.compress(short.tobytes(), 3), _pack(numbers[short == 255]))
+
+
+def _unpack_body(data: bytes) -> np.ndarray:
+    short, far = _parts(data)
+    short = np.frombuffer(zstandard.decompress(short), np.uint8)
+    numbers, new = short.astype(np.uint32), short == 0
+    numbers[new] = np.arange(1, new.sum() + 1)
+    numbers -= 1
+    numbers[short == 255] = _unpack(far)
+    return numbers
 
 
 _BLOCK = "block string, part int, doc_ids array<long>, lengths binary, buckets binary, payload binary"
@@ -136,7 +160,7 @@ def _split(path: str, buckets: int):
         words = [w.encode() for w in numbers]
         part = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
         block = f"{TaskContext.get().partitionId()}-{nth}-{digest.hexdigest()[:24]}"
-        yield _rows(block, [(-1, ids, _pack(np.array(lengths, np.uint32)), _pack(part), _pack(np.concatenate(flat)))])
+        yield _rows(block, [(-1, ids, _pack(np.array(lengths, np.uint32)), _pack(part), _pack_body(np.concatenate(flat)))])
         order = np.argsort(part, kind="stable")  # within a bucket, by first appearance in the block
         cuts = np.searchsorted(part[order], np.arange(buckets + 1))
         for p in range(buckets):
@@ -198,7 +222,7 @@ def _assemble(path: str):
         end = np.cumsum(counts)
         pieces_of = list(map(piece.__getitem__, ids.tolist()))  # the id-to-piece join
         text_of = [pieces_of[a] if a + 1 == b else b"".join(pieces_of[a:b]) for a, b in zip((end - counts).tolist(), end.tolist())]
-        doc_ids, lengths, part, flat = body[0], _unpack(body[1]).astype(np.int64), _unpack(body[2]), _unpack(body[3])
+        doc_ids, lengths, part, flat = body[0], _unpack(body[1]).astype(np.int64), _unpack(body[2]), _unpack_body(body[3])
         if len(part) != len(counts):
             raise RuntimeError("a block's words and documents do not belong together")
         place = np.empty(len(part), np.uint32)

@@ -109,3 +109,16 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
     assert p.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_bpe_bodies_and_words_unpack_to_what_was_packed():
+    rng = np.random.default_rng(5)
+    for n, most in ((0, 1), (1, 1), (300, 2), (5000, 254), (5000, 255), (5000, 256), (9000, 4000)):
+        drawn = rng.integers(0, most, n)
+        number = {}
+        body = np.array([number.setdefault(x, len(number)) for x in drawn.tolist()], np.uint32)
+        assert (bpe._unpack_body(bpe._pack_body(body)) == body).all()
+    every = np.arange(1000, dtype=np.uint32)
+    assert (bpe._unpack_body(bpe._pack_body(every)) == every).all()
+    for words in ([], [b"a"], [b"", b" \xc3\xa9", b"x" * 70_000, b"\n"]):
+        assert bpe._unpack_words(bpe._pack_words(words)) == words
