@@ -213,7 +213,8 @@ def _candidates(scratch: Scratch, entries: DataFrame, asked: DataFrame, n_rows:
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(1 + n_rows // PART)).cast("int")
     index = _hashed(entries, "number", sizes, tables, 1)
     probing = _hashed(asked.withColumnRenamed("vec_id", "query_id"), "query_id", sizes, tables, probes)
-    pairs = probing.join(index, "bucket").select("query_id", "number", block("number").alias("block"))
+    # Spark takes the buckets of a query for no more than its vector, and would broadcast them.
+    pairs = probing.hint("merge").join(index, "bucket").select("query_id", "number", block("number").alias("block"))
     packed = pairs.groupBy("block", "query_id").agg(F.collect_set("number").alias("numbers"))  # at most the block's rows
     wanted = packed.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     placed = entries.withColumn("block", block("number"))

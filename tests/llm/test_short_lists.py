@@ -81,3 +81,19 @@ def test_repeated_rows_and_ids(spark):
         neighbours.PART = before
     assert none == [] and list(got[got.query_id == 7].sort_values("rank").vec_id)[0] == 5 and got[got.query_id == 7].score.min() == 0
     assert all(len(set(g.vec_id)) == len(g) == 3 and q not in set(g.vec_id) for q, g in got.groupby("query_id"))
+
+
+def unit_rows(spark, rows, size, seed):
+    x = np.random.default_rng(seed).normal(size=(rows, size))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return x.astype(float), spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+
+
+def test_probes_are_not_broadcast(spark):
+    """A query has 64 buckets in each of 20 tables, which Spark takes for one short row."""
+    _, df = unit_rows(spark, 400, 16, 5)
+    rows = neighbours.usable(df)
+    asked = rows.filter("vec_id % 100 = 0")
+    found = neighbours._candidates(neighbours.Scratch(spark), neighbours._entries(rows, 10), asked, 400, 16, 10, 20, 64)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [bucket" in plan and "BroadcastHashJoin [bucket" not in plan
