@@ -89,6 +89,19 @@ def unit_rows(spark, rows, size, seed):
     return x.astype(float), spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
 
 
+def test_small_tables_take_the_same_way(spark, monkeypatch):
+    """Neither results nor their way depend on whether a table is below a block's size."""
+    x, df = unit_rows(spark, 2000, 64, 3)
+    lists = []
+    for part in (500, 4096):
+        monkeypatch.setattr(neighbours, "PART", part)
+        lists.append(sorted(tuple(r) for r in neighbours.search(df, df.filter("vec_id % 100 = 0")).collect()))
+    monkeypatch.setattr(neighbours, "_exact", None)
+    assert lists[0] == lists[1] == sorted(tuple(r) for r in neighbours.search(df, df.filter("vec_id % 100 = 0")).collect())
+    hits = sum(len(set(true_lists(x, np.arange(2000), q, 10)[0]) & {r[2] for r in lists[0] if r[0] == q}) for q in range(0, 2000, 100))
+    assert hits >= 0.9 * 200
+
+
 def test_probes_are_not_broadcast(spark):
     """A query has 64 buckets in each of 20 tables, which Spark takes for one short row."""
     _, df = unit_rows(spark, 400, 16, 5)
