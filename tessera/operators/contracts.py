@@ -49,18 +49,40 @@ def uncovered(members: DataFrame, group: str, assembly: str) -> DataFrame:
     return seen.crossJoin(F.broadcast(everyone)).select(group, lacks.alias("missing")).filter(F.size("missing") > 0)  # one row of names
 
 
-def truth(requests: DataFrame, pieces: DataFrame) -> DataFrame:
+#: Most requests that one copy of a stretch's text serves.
+SERVED = 1 << 16
+
+
+def truth(requests: DataFrame, pieces: DataFrame, least: int = 1 << 12) -> DataFrame:
     """Hash and length of the text that each request [lo, hi) covers, from pieces (uoff, ulen, text) that it overlaps.
 
-    A request's slices meet in one row, so that row is bounded by the request's own length. A request beyond the pieces is
-    marked, as its text is short.
+    Text is moved once for a stretch, not for each request. A request is hashed from the stretch that begins at the multiple
+    of a power of two at or before lo, of that power twice; the power is at least the request's length, so a stretch's row
+    is bounded by four times the longest request in it (or `least` twice). Only stretches that are asked for get text, and a
+    copy for each SERVED requests. Rows of equal request_id and range count as one request whose pieces come as often. A
+    request beyond the pieces is marked, as its text is short.
     """
-    cut = overlap(requests, pieces).select("request_id", "uoff", "take", F.expr("substring(text, CAST(skip + 1 AS INT), CAST(take AS INT))").alias("slice"))
-    ordered = F.array_sort(F.collect_list(F.struct("uoff", "slice")))
-    found = cut.groupBy("request_id").agg(F.sum("take").alias("n"), F.sha2(F.array_join(F.transform(ordered, lambda x: x["slice"]), ""), 256).alias("sha256"))
-    n = F.coalesce("n", F.lit(0))
+    long = F.greatest(F.col("hi") - F.col("lo"), F.lit(least))
+    width = F.pow(F.lit(2), F.length(F.bin(long - 1))).cast("long")
+    at = F.floor(F.col("lo") / F.col("width")) * F.col("width")
+    stretch = ["width", "at"]
+    asked = requests.select("request_id", "lo", "hi", width.alias("width")).withColumn("at", at)
+    of = asked.filter("hi > lo").groupBy(*stretch).agg(F.floor(F.count("*") / SERVED).alias("last"))
+    of = of.select("*", F.col("at").alias("lo"), (F.col("at") + 2 * F.col("width")).alias("hi"))
+    cut = overlap(of, pieces).select(*stretch, "last", (F.col("uoff") + F.col("skip")).alias("lo"), "take", F.expr("substring(text, CAST(skip + 1 AS INT), CAST(take AS INT))").alias("slice"))
+    texts = cut.groupBy(*stretch, "last").agg(F.array_sort(F.collect_list(F.struct("lo", "take", "slice"))).alias("slices"))
+    texts = texts.select(*stretch, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("copy"), "slices")
+    times = F.count("*").over(Window.partitionBy("request_id", "lo", "hi"))
+    dealt = asked.withColumn("times", times).join(of.select(*stretch, "last"), stretch, "left").withColumn("copy", F.pmod(F.xxhash64("request_id"), F.col("last") + 1)).drop("last")
+    met = dealt.join(texts.hint("merge"), [*stretch, "copy"], "left")
+    begin = lambda x: F.greatest(x["lo"], F.col("lo"))
+    end = lambda x: F.least(x["lo"] + x["take"], F.col("hi"))
+    own = F.filter("slices", lambda x: begin(x) < end(x))
+    n = F.coalesce(F.aggregate(own, F.lit(0).cast("long"), lambda n, x: n + end(x) - begin(x)), F.lit(0)) * F.col("times")
+    part = lambda x: F.repeat(F.substring(x["slice"], (begin(x) - x["lo"] + 1).cast("int"), (end(x) - begin(x)).cast("int")), F.col("times").cast("int"))
     inside = n == F.col("hi") - F.col("lo")
-    return requests.join(found, "request_id", "left").select("request_id", n.alias("length"), F.when(inside, F.col("sha256")).alias("sha256"), inside.alias("inside"))
+    found = F.when(inside & (F.size(own) > 0), F.sha2(F.array_join(F.transform(own, part), ""), 256))
+    return met.select("request_id", n.alias("length"), found.alias("sha256"), inside.alias("inside"))
 
 
 def rotated(position: Column, shift: Column, n: Column) -> Column:

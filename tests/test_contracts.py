@@ -49,6 +49,30 @@ def test_truth_spans_pieces_and_marks_requests_beyond_them(spark):
     assert rows(by_definition) == [(k, n) for k, n, _, _ in want if n]
 
 
+def test_truth_moves_text_once_for_many_requests(spark, monkeypatch):
+    """Slices of each request do not pass a shuffle; long and repeated requests, gaps and copies of a stretch count as before."""
+    text = "".join(chr(97 + k * k % 23) for k in range(40_000)) + "é日" * 50
+    cuts = [0, 1, 1, 9000, 9001, 30_000, len(text)]
+    parts = [(a, b - a, text[a:b]) for a, b in zip(cuts, cuts[1:])] + [(50_000, 10, "x" * 10)]
+    pieces = spark.createDataFrame(parts, "uoff long, ulen long, text string").repartition(3)
+    asked = [(k, 7 * k, 7 * k + 1 + k * 13 % 9000) for k in range(2000)] + [(5000, 0, len(text)), (5001, 4095, 4097), (5002, 4096, 4096 + 4096), (5003, 45_000, 50_005), (5004, 50_000, 50_010), (5005, -5, 3), (5006, 5, 5)]
+    twice = [(6000, 10, 20), (6000, 10, 20), (6001, len(text) - 5, len(text) + 5), (6001, len(text) - 5, len(text) + 5), (None, None, None)]
+    frame = spark.createDataFrame(asked + twice, "request_id long, lo long, hi long").repartition(3)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    covered = lambda lo, hi: "".join(t[max(lo - u, 0) : max(hi - u, 0)] for u, _, t in sorted(parts))
+    want = []
+    for k, lo, hi in asked:
+        part = covered(lo, hi)
+        want.append((k, len(part), sha(part) if part and len(part) == hi - lo else None, len(part) == hi - lo))
+    doubled = "".join(c * 2 for c in [covered(len(text) - 5, len(text))])
+    want += [(6000, 20, None, False)] * 2 + [(6001, 10, sha(doubled), True)] * 2 + [(None, 0, None, None)]
+    met = []
+    monkeypatch.setattr(contracts, "SERVED", 100)
+    monkeypatch.setattr(contracts, "overlap", lambda r, p: met.append(r.count()) or intervals.overlap(r, p))
+    assert rows(contracts.truth(frame, pieces)) == sorted(want, key=str)
+    assert met[0] < 40
+
+
 def test_kept_prefix(spark):
     old = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, "d")], "at long, v string")
     new = spark.createDataFrame([(1, "a"), (2, None), (3, "x"), (5, "e")], "at long, v string")
