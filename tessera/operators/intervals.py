@@ -15,11 +15,17 @@ def prefix_starts(rows: DataFrame, order: str, size: str, start: str, stride: in
     return rows.withColumn(start, within).join(heads, "_s").withColumn(start, F.col(start) + F.col("_h")).drop("_s", "_h")
 
 
+#: Rows of intervals for each task that merges them.
+TASK_ROWS = 1 << 19
+
+
 def merge(rows: DataFrame, key: str) -> DataFrame:
-    """Union of intervals by key; touching ones merge."""
-    w = Window.partitionBy(key).orderBy("lo", "hi")
+    """Union of intervals by key; touching ones merge. Tasks grow in number with the rows; a key is sorted by one of them."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + rows.count() // TASK_ROWS)
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("lo"), F.asc_nulls_last("hi"))
     before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = rows.select(key, "lo", "hi").distinct().withColumn("new", F.when(F.col("lo") <= before, 0).otherwise(1))
+    again = F.struct("lo", "hi").eqNullSafe(F.lag(F.struct("lo", "hi")).over(w))
+    new = rows.select(key, "lo", "hi").repartition(tasks, key).withColumn("new", F.when((F.col("lo") <= before) | again, 0).otherwise(1))
     island = F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return new.withColumn("island", island).groupBy(key, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
