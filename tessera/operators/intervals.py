@@ -31,11 +31,14 @@ def merge(rows: DataFrame, key: str) -> DataFrame:
 
 
 def gaps(merged: DataFrame, key: str, end: int, least: int) -> DataFrame:
-    """Stretches of [0, end) of at least `least` that no merged interval covers."""
-    edge = F.coalesce(F.lag("hi").over(Window.partitionBy(key).orderBy("lo")), F.lit(0))
-    inner = merged.select(key, edge.alias("lo"), F.col("lo").alias("hi"))
-    tail = merged.groupBy(key).agg(F.max("hi").alias("lo")).withColumn("hi", F.lit(end))
-    return inner.unionByName(tail.select(key, "lo", "hi")).filter(F.col("hi") - F.col("lo") >= least)
+    """Stretches of [0, end) of at least `least` that no merged interval covers, in one pass over the intervals of a key."""
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("lo"))
+    before = F.struct(F.coalesce(F.lag("hi").over(w), F.lit(0)).cast("long").alias("lo"), F.col("lo").cast("long").alias("hi"))
+    after = F.struct(F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("lo"), F.lit(end).cast("long").alias("hi"))
+    last = F.lead(F.lit(1)).over(w).isNull()
+    each = merged.select(key, before.alias("before"), after.alias("after"), last.alias("last"))
+    both = each.select(key, F.inline(F.when(F.col("last"), F.array("before", "after")).otherwise(F.array("before"))))
+    return both.filter(F.col("hi") - F.col("lo") >= least)
 
 
 def _bins(lo, hi, width: int):
