@@ -72,6 +72,14 @@ def test_merging_takes_more_tasks_for_more_rows(spark, monkeypatch):
     assert sorted(map(str, intervals.gaps(merged, "c", 200000, 5).collect())) == sorted(str(Row(c=c, lo=a, hi=b)) for c, a, b in free)
 
 
+def test_gaps_and_their_weights_read_intervals_once(spark):
+    df = spark.range(1000).selectExpr("id % 10 as c", "id * 7 as lo", "id * 7 + 2 as hi")
+    free = intervals.gaps(intervals.merge(df, "c"), "c", 7000, 5).groupBy("c").count()
+    plan = free._jdf.queryExecution().sparkPlan().toString() + free._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("Exchange hashpartitioning") == 2  # one in each of the plan's two forms
+    assert rows(free)[0] == (0, 100)
+
+
 def test_overlap_forms_agree(spark):
     blocks = spark.createDataFrame([(k, k * 100, 100) for k in range(20)] + [(99, 2000, 0)], "block_id int, uoff long, ulen long")
     asked = spark.createDataFrame([(1, 0, 1), (2, 99, 101), (3, 150, 1999), (4, 5000, 5001)], "request_id int, lo long, hi long")
