@@ -300,7 +300,8 @@ _GAPS = "SELECT chrom, coalesce(lag(hi) OVER (PARTITION BY chrom ORDER BY lo), 0
 
 @query("w09_gaps", sql("SELECT chrom, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM g WHERE hi - lo >= 5", "intervals", m=_MERGED, g=_GAPS))
 def w09(spark, d):
-    return intervals.gaps(w08(spark, d), "chrom", 200000, 5).select("chrom", "lo", F.col("hi").cast("long").alias("hi"))
+    merged = intervals.merge(views.intervals(spark, d), "chrom", stretches=True)
+    return intervals.gaps(merged, "chrom", 200000, 5).select("chrom", "lo", F.col("hi").cast("long").alias("hi"))
 
 
 @query("w10_weighted_starts", sql("SELECT chrom, CAST(sum(hi - lo - 5 + 1) AS BIGINT) AS starts, count(*) AS gaps FROM g WHERE hi - lo >= 5 GROUP BY chrom", "intervals", m=_MERGED, g=_GAPS))

@@ -1,5 +1,6 @@
 """Hand-computed cases."""
 
+import random
 from decimal import Decimal
 
 import duckdb
@@ -80,6 +81,34 @@ def test_gaps_and_their_weights_read_intervals_once(spark):
     assert rows(free)[0] == (0, 100)
 
 
+def test_large_keys_are_cut(spark, monkeypatch):
+    """A key of most intervals is merged, and its gaps are found, in many tasks; islands reach over none, one and many cuts.
+
+    Odd rows too, but none whose order the SQL leaves open.
+    """
+    rng = random.Random(5)
+    data = [(1, lo := 4 * rng.randrange(2300), lo + 1 + rng.randrange(9)) for _ in range(1500)] + [(2, lo := 4 * rng.randrange(900), lo + 1) for _ in range(500)]
+    data += [(None, lo := 12 * k, lo + 3) for k in range(300)] + [(3, k, k + 2) for k in range(40)] + [(4, 7, 9)] * 250 + [(5, k, k + 1) for k in range(400)] + [(8, None, k) for k in range(250)]
+    data += [(1, 1000, 4000), (2, 0, 2), (6, 0, 900)] + [(6, 10 * k, 10 * k + 1) for k in range(300)]  # one island over many stretches
+    for k in (1, 2, None):
+        data += [(k, a, a - 1 - rng.randrange(3)) for a in range(1, 9500, 96)] + [(k, a, None) for a in range(2, 9500, 92)] + [(k, a, a) for a in range(3, 9500, 88)] + [(k, None, 5), (k, None, None), (k, None, 99999)]
+    df = spark.createDataFrame(data + data[::7], "c int, lo long, hi long").repartition(5)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE intervals (chrom INT, lo BIGINT, hi BIGINT)")
+    con.executemany("INSERT INTO intervals VALUES (?, ?, ?)", [list(r) for r in data])
+    want = con.execute(catalog._MERGED).fetchall()
+    free = con.execute(f"WITH m AS ({catalog._MERGED}), g AS ({catalog._GAPS}) SELECT chrom, lo, hi FROM g WHERE hi - lo >= 5").fetchall()
+    for size in (200, 60):
+        monkeypatch.setattr(intervals, "TASK_ROWS", size)
+        merged = intervals.merge(df, "c", stretches=True)
+        assert sorted(map(str, merged.select("c", "lo", "hi").collect())) == sorted(str(Row(c=c, lo=a, hi=b)) for c, a, b in want)
+        assert sorted(map(str, intervals.gaps(merged, "c", 200000, 5).collect())) == sorted(str(Row(c=c, lo=a, hi=b)) for c, a, b in free)
+    assert intervals.merge(df, "c").columns == ["c", "lo", "hi"]
+    one = spark.createDataFrame([(1, 3 * k, 3 * k + 1) for k in range(4000)], "c int, lo long, hi long")
+    met = intervals.merge(one, "c").groupBy(F.spark_partition_id()).count().collect()
+    assert len(met) > 20 and max(r["count"] for r in met) < 400
+
+
 def test_overlap_forms_agree(spark):
     blocks = spark.createDataFrame([(k, k * 100, 100) for k in range(20)] + [(99, 2000, 0)], "block_id int, uoff long, ulen long")
     asked = spark.createDataFrame([(1, 0, 1), (2, 99, 101), (3, 150, 1999), (4, 5000, 5001)], "request_id int, lo long, hi long")
